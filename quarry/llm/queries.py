@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from quarry.llm.decontam import OP8_SQL, op8_winnow_decontam
 from quarry.llm.entropy_mix import op2_entropy_mix
 from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from quarry.llm.host_reputation import OP3_SQL, op3_host_reputation
 
 QUERIES = {
     "op2_entropy_mix": op2_entropy_mix,
+    "op3_host_reputation": op3_host_reputation,
+    "op8_winnow_decontam": op8_winnow_decontam,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES = {
+    "op3_host_reputation": OP3_SQL,
+    "op8_winnow_decontam": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
