@@ -115,6 +115,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
         [(i, r["source"], r["tokens"], max(1.0, r["tokens"] / r["docs"]), aims[i], math.ceil(r["docs"] / block_rows)) for i, r in enumerate(sources)],
         "sid int, source string, source_size long, mean double, target double, blocks int",
     )
+    named = F.broadcast(named)  # at most max_sources rows, as is tilts: some 20 MB
     known = rows.join(named.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     cells = materialize(
         known.filter("size > 0").groupBy("sid", "size", "mean").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.col("size") / F.col("mean")), "cells")
@@ -123,7 +124,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     rate = F.when(F.col("lam") == math.inf, cap).when(F.col("lam") == -math.inf, 0.0).otherwise(
         F.least(F.lit(cap), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0)))))
     block = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")).cast("int")
-    dealt = known.join(tilts, "sid").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "source", "sid", block.alias("block"))
+    dealt = known.join(F.broadcast(tilts), "sid").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "source", "sid", block.alias("block"))
     return dealt.groupBy("sid", "block").applyInPandas(round_copies, _OUT)
 
 
