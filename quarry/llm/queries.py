@@ -6,10 +6,12 @@ from quarry.llm.decontam import OP8_SQL, op8_winnow_decontam
 from quarry.llm.entropy_mix import op2_entropy_mix
 from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from quarry.llm.host_reputation import OP3_SQL, op3_host_reputation
+from quarry.llm.simhash import op6_simhash_multi_index
 
 QUERIES = {
     "op2_entropy_mix": op2_entropy_mix,
     "op3_host_reputation": op3_host_reputation,
+    "op6_simhash_multi_index": op6_simhash_multi_index,
     "op8_winnow_decontam": op8_winnow_decontam,
     "op9_exact_dedup": op9_exact_dedup,
 }
