@@ -6,6 +6,7 @@ from quarry.llm.decontam import OP8_SQL, op8_winnow_decontam
 from quarry.llm.entropy_mix import op2_entropy_mix
 from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from quarry.llm.host_reputation import OP3_SQL, op3_host_reputation
+from quarry.llm.language_id import op10_nearest_centroid_lang
 from quarry.llm.simhash import op6_simhash_multi_index
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_simhash_multi_index": op6_simhash_multi_index,
     "op8_winnow_decontam": op8_winnow_decontam,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_nearest_centroid_lang": op10_nearest_centroid_lang,
 }
 
 ORACLES = {
