@@ -123,6 +123,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         items.alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"), F.col("spans").isNotNull().alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text holds no window of the benchmark."""
+    row = F.xxhash64(F.lit("row"), text_of(text_col))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), words_of(text_col).alias("words"))
+    windows = materialize(_windows(benchmark, span, k, item_col, item_text_col), "windows")
+    hits = find_hits(given, windows, span, k, broadcast_windows).select(F.col("doc_id").alias("_hit_doc"), F.col("row").alias("_hit_row")).distinct()
+    same = (row == F.col("_hit_row")) & F.col(id_col).cast("long").eqNullSafe(F.col("_hit_doc"))
+    return docs.join(materialize(hits, "hits"), same, "left_anti")
+
+
 def op8_winnow_decontam(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")

@@ -128,5 +128,13 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     return dealt.groupBy("sid", "block").applyInPandas(round_copies, _OUT)
 
 
+def take_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it; rows that share an id share its copies equally, rounded down."""
+    mix = entropy_mix(docs, id_col=id_col, **how).groupBy("doc_id").agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies"))
+    mix = materialize(mix.filter("_copies > 0").withColumnRenamed("doc_id", "_mixed"), "mix")
+    taken = docs.join(mix, F.col(id_col).cast("long").eqNullSafe(F.col("_mixed")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+
+
 def op2_entropy_mix(spark, sf_dir: str) -> DataFrame:
     return entropy_mix(table(spark, sf_dir, "documents"))

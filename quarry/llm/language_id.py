@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from quarry.llm.common import table
 
@@ -63,16 +64,22 @@ def _vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
 
 
-def cluster(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
-    """At most k unit centroids of the unit rows of x, from the rows least like those taken before."""
+def cluster(x: np.ndarray, k: int, steps: int = 12, least: float = 0.02) -> np.ndarray:
+    """At most k unit centroids of the unit rows of x, each with a share of at least ``least``, so that no outlier has one."""
     k = min(k, len(x))
     seeds = [int(np.argmax(x @ x.mean(axis=0)))]
     while len(seeds) < k:
         seeds.append(int(np.argmin((x @ x[seeds].T).max(axis=1))))
     c = x[seeds]
-    for _ in range(steps):
+    for step in range(2 * steps):
         mine = (x @ c.T).argmax(axis=1)
-        sums = np.stack([x[mine == i].sum(axis=0) if (mine == i).any() else c[i] for i in range(k)])
+        counts = np.bincount(mine, minlength=len(c))
+        if step >= steps // 2:  # the largest always has its share
+            kept = counts >= min(counts.max(), max(2, least * len(x)))
+            if not kept.all():
+                c = c[kept]
+                continue
+        sums = np.stack([x[mine == i].sum(axis=0) if counts[i] else c[i] for i in range(len(c))])
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return c.astype(np.float32)
 
@@ -138,21 +145,17 @@ def fit(train: DataFrame, dims: int = 4096, clusters: int = 4, sample_per_lang:
     }
 
 
-def predict(docs: DataFrame, model: dict, slack: float = 1.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (cosine, 0 to 1), rejected of every row.
-
-    A null text, one without a letter, and any text where nothing was learned are
-    ``und``, with score 0 and rejected.  Ties go to the first language by name.
-    Repeated rows get equal results; an empty table gives an empty result; other
-    columns are not read.
-    """
+def annotate(docs: DataFrame, model: dict, slack: float = 1.25, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs, all columns and no shuffle, with lang_pred, score (cosine, 0 to 1) and rejected, named behind prefix."""
     dims, idf, langs, of, centroids = (model[k] for k in ("dims", "idf", "langs", "of", "centroids"))
     limit = 1 - slack * (1 - model["low"])
+    names, at = docs.columns, docs.columns.index(text_col)
+    added = [f"{prefix}{x}" for x in ("lang_pred", "score", "rejected")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for _, _, c in _each([b], 1, dims):
+            for _, _, c in _each([b], at, dims):
                 if c is None or not langs:
                     out.append(("und", 0.0, True))
                     continue
@@ -160,9 +163,29 @@ def predict(docs: DataFrame, model: dict, slack: float = 1.25, id_col: str = "do
                 best = int(cos.argmax())
                 out.append((langs[of[best]], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] < limit[best])))
             lang, score, gone = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*names, *added])
+
+    kinds = [StructField(n, t) for n, t in zip(added, (StringType(), DoubleType(), BooleanType()), strict=True)]
+    return docs.mapInArrow(made, StructType([*docs.schema.fields, *kinds]))
+
+
+def predict(docs: DataFrame, model: dict, slack: float = 1.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score (cosine, 0 to 1), rejected of every row.
+
+    A null text, one without a letter, and any text where nothing was learned are
+    ``und``, with score 0 and rejected.  Ties go to the first language by name.
+    Repeated rows get equal results; an empty table gives an empty result; other
+    columns are not read.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return annotate(given, model, slack).drop("text")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, "doc_id long, lang_pred string, score double, rejected boolean")
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
+    """The rows of docs that aren't rejected, with their columns; a null language becomes the predicted one."""
+    out = annotate(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **how), text_col=text_col, prefix="_lid_")
+    return out.filter("NOT _lid_rejected").withColumn(lang_col, F.coalesce(lang_col, "_lid_lang_pred")).select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
