@@ -8,10 +8,12 @@ from quarry.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from quarry.llm.host_reputation import OP3_SQL, op3_host_reputation
 from quarry.llm.language_id import op10_nearest_centroid_lang
 from quarry.llm.license_scan import op5_license_scan
+from quarry.llm.recurrent_lm import op1_recurrent_lm
 from quarry.llm.simhash import op6_simhash_multi_index
 from quarry.llm.token_codes import op4_addressable_tokens
 
 QUERIES = {
+    "op1_recurrent_lm": op1_recurrent_lm,
     "op2_entropy_mix": op2_entropy_mix,
     "op3_host_reputation": op3_host_reputation,
     "op4_addressable_tokens": op4_addressable_tokens,
