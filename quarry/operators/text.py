@@ -87,8 +87,11 @@ def phrase(tokens: Column, terms: list[str]) -> Column:
 def _counts(df: DataFrame, text: str, terms: list[str], analyzer: Analyzer) -> DataFrame:
     """df with _tf: how often each of the terms is in the text."""
     tokens = df.withColumn("_tokens", analyzer.column(F.col(text)))
-    tf = [F.coalesce(F.size(F.filter("_tokens", lambda w, t=t: w == t)), F.lit(0)) for t in terms]
-    return tokens.withColumn("_tf", F.array(*tf)).drop("_tokens")
+
+    def times(term: str) -> Column:
+        return F.coalesce(F.size(F.filter("_tokens", lambda w: w == term)), F.lit(0))
+
+    return tokens.withColumn("_tf", F.array(*map(times, terms))).drop("_tokens")
 
 
 def weights(df: DataFrame, text: str, terms: list[str], analyzer: Analyzer) -> list[float]:
