@@ -10,6 +10,7 @@ from quarry.llm.language_id import op10_nearest_centroid_lang
 from quarry.llm.license_scan import op5_license_scan
 from quarry.llm.recurrent_lm import op1_recurrent_lm
 from quarry.llm.simhash import op6_simhash_multi_index
+from quarry.llm.substring_dedup import op7_suffix_array_dedup
 from quarry.llm.token_codes import op4_addressable_tokens
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_addressable_tokens": op4_addressable_tokens,
     "op5_license_scan": op5_license_scan,
     "op6_simhash_multi_index": op6_simhash_multi_index,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_winnow_decontam": op8_winnow_decontam,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_nearest_centroid_lang": op10_nearest_centroid_lang,
