@@ -40,8 +40,11 @@ def train_vocabulary(descriptors: DataFrame, vector: str, k: int = 500, seed: in
     from pyspark.ml.functions import array_to_vector
 
     data = descriptors.select(array_to_vector(doubles(F.col(vector))).alias("features"))
-    n = data.limit(k).count()
-    return np.array(KMeans(k=max(2, min(k, n)), seed=seed).fit(data).clusterCenters())
+    n = descriptors.select(vector).distinct().limit(k).count()
+    if n < 2:
+        return np.array([r["features"].toArray() for r in data.limit(n).collect()])
+    # the row solver, as the other fails where fewer centres than k can be found
+    return np.array(KMeans(k=min(k, n), seed=seed, solver="row").fit(data).clusterCenters())
 
 
 def assign(centroids: np.ndarray, vector: Column) -> Column:
