@@ -139,15 +139,19 @@ def near_links(fps: DataFrame, radius: int = 3, count: int = 2, heavy: int = 64,
     return links.unionByName(dealt.groupBy("seg", "key", "i", "j").applyInPandas(joined, "a long, b long"))
 
 
-def linked_classes(rows: DataFrame, radius: int, count: int) -> DataFrame:
-    """(v, comp) for each class v of equal fps in rows (doc_id, fps, v): comp is one of the classes that v reaches."""
+def linked_classes(rows: DataFrame, radius: int, count: int, wide: int = 1 << 23) -> DataFrame:
+    """(v, comp) for each class v of equal fps in rows (doc_id, fps, v): comp is one of the classes that v reaches.
+
+    From ``wide`` fingerprints on, two segments replace more: the same links, with
+    larger balls but buckets that stay small.
+    """
     classes = materialize(rows.groupBy("v").agg(F.first("fps").alias("fps")), "classes")
     planes = classes.select(F.max(F.size("fps"))).first()[0] or 0
     edges = None
     for p in range(planes):
         at = classes.select("v", F.col("fps")[p].alias("fp"))
         hubs = materialize(at.groupBy("fp").agg(F.min("v").alias("v")), "hubs")
-        links = near_links(hubs.select("fp"), radius, count)
+        links = near_links(hubs.select("fp"), radius, count if hubs.count() < wide else min(count, 2))
         ends = links.join(hubs.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
         mine = ends.select(F.col("va").alias("a"), F.col("vb").alias("b"))
         if planes > 1:
