@@ -84,8 +84,18 @@ def phrase(tokens: Column, terms: list[str]) -> Column:
     return F.coalesce(F.when(F.size(tokens) >= n, F.exists(starts, lambda i: F.slice(tokens, i, n) == run)), F.lit(False))
 
 
+def _times(normal: Column, term: str) -> Column:
+    """How often a token is in normalised text: a search between white space, only where the letters are there at all."""
+    edge = r"[^ \t\n\r\f]"
+    found = F.regexp_count(normal, F.lit(rf"(?<!{edge}){re.escape(term)}(?!{edge})"))
+    return F.when(F.contains(normal, F.lit(term)), found).otherwise(0)
+
+
 def _counts(df: DataFrame, text: str, terms: list[str], analyzer: Analyzer) -> DataFrame:
-    """df with _tf: how often each of the terms is in the text."""
+    """df with _tf: how often each of the terms is in the text.  Without stemming no array of tokens is made."""
+    if not analyzer.stemming:
+        given = df.withColumn("_normal", F.regexp_replace(F.lower(F.col(text)), r"\p{Punct}", ""))
+        return given.withColumn("_tf", F.array(*[_times(F.col("_normal"), t) for t in terms])).drop("_normal")
     tokens = df.withColumn("_tokens", analyzer.column(F.col(text)))
 
     def times(term: str) -> Column:
