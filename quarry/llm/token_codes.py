@@ -46,43 +46,95 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids of whole texts as little-endian 16- or 32-bit integers, equal to the library's for the whole text."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.split = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # the same vocabulary for words that are already apart, many in one call
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "removed"), byte_level])
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = regex.compile(public_tokenizers.PATTERN)
-        self.remember, self.pieces, self.parts = remember, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) > self.remember:
-            self.pieces = {}
-        if len(self.parts) > self.remember:
+        self.half = remember // 2
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the pattern."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            e = self.split.encode("\0".join(part), add_special_tokens=False)
+            ids, of = np.array(e.ids, self.kind), np.array(e.word_ids)
+            ends = np.searchsorted(of, np.arange(len(part)), side="right") * ids.itemsize
+            flat, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(flat[begin:end])
+                begin = end
+        return out
+
+    def _cut(self, piece: str) -> tuple[str, ...] | list[str]:
+        """The pattern's words of a space and a piece; plain words, and those before a comma or stop, need no search."""
+        if piece.isascii():
+            if piece.isalpha():
+                return (" " + piece,)
+            if piece[-1] in ",." and piece[:-1].isalpha():
+                return " " + piece[:-1], piece[-1]
+        return self.words.findall(" " + piece)
+
+    def _learn(self, lost: set[str]) -> None:
+        """Enters the pieces, in the newer half again if they are in the older one."""
+        if len(self.pieces) > self.half:
+            self.pieces, self.older = {}, self.pieces
+        if len(self.parts) > self.half:
             self.parts = {}
-        cut = [self.words.findall(" " + p) for p in pieces]
-        new = list({w for words in cut for w in words if w not in self.parts})
-        self.parts.update(zip(new, self._ids(new), strict=True))
-        self.pieces.update((p, b"".join([self.parts[w] for w in words])) for p, words in zip(pieces, cut, strict=True))
+        pieces, parts = self.pieces, self.parts
+        back = {p for p in lost if p in self.older}
+        for p in back:
+            pieces[p] = self.older[p]
+        cut = {p: self._cut(p) for p in lost - back}
+        new = [w for w in {w for words in cut.values() for w in words} if w not in parts and "\0" not in w]
+        parts.update(zip(new, self._apart(new), strict=True))
+        for p, words in cut.items():
+            if "\0" in p:
+                pieces[p] = self._whole(" " + p)
+            else:
+                pieces[p] = parts[words[0]] if len(words) == 1 else b"".join([parts[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self._ids([text])[0]
-        first, *rest = _PIECE.split(text)
-        head = b"".join(self._ids([w])[0] for w in self.words.findall(first))
-        get = self.pieces.get
-        out = list(map(get, rest))
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        out = list(map(self.pieces.get, rest))
         if None in out:
-            known = dict(zip(rest, out, strict=True))
-            self._learn([p for p, ids in known.items() if ids is None])
-            out = [known[p] or self.pieces[p] for p in rest]
-        return head + b"".join(out)
+            lost = {p for p, ids in zip(rest, out, strict=True) if ids is None}
+            if "" in lost or "".join([p[0] for p in lost]).translate(_VISIBLE):  # some space doesn't start a piece
+                first, *rest = _PIECE.split(text)
+                lost = {p for p in rest if p not in self.pieces}
+            self._learn(lost)
+            out = list(map(self.pieces.get, rest))
+            if None in out:  # the halves have changed meanwhile
+                out = [self.older[p] if ids is None else ids for p, ids in zip(rest, out, strict=True)]
+        return (self._whole(first) if first else b"") + b"".join(out)
+
+
+class _Spaces(dict):
+    """For str.translate: keeps white space only, learning characters as they come."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = c if chr(c).isspace() else None
+        return self[c]
+
+
+_VISIBLE = _Spaces()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -148,10 +200,10 @@ def _segment(shard: int, seg: int, docs: list, blobs: list[bytes], kind: str) ->
     }
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shard_docs: int = 1024, segment_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shard_docs: int = 1024, max_shards: int = 20_000, segment_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every row's text and an end id, in ascending doc_id order, null ids first.
 
-    Part k of the files holds shard k.  Null texts are empty.  Rows with one doc_id
+    Part k of the files holds shard k; there are at most max_shards, as their bounds are in the plan.  Null texts are empty.  Rows with one doc_id
     follow each other, ordered by their ids' bytes, so repeated rows are written as
     often as they come.  A segment ends after the document that takes it past
     segment_tokens.  An empty table writes no segment.
@@ -159,7 +211,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shar
     vocabulary = vocabulary or default_vocabulary()
     number = F.col(id_col).cast("long")
     rows = docs.count()
-    shards = max(1, math.ceil(rows / shard_docs))
+    shards = max(1, min(max_shards, math.ceil(rows / shard_docs)))
     steps = [i / shards for i in range(1, shards)]
     bounds = sorted(set(docs.select(F.percentile_approx(number, steps, 10 * shards)).first()[0] or [])) if steps else []
 
