@@ -71,7 +71,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _least_documents(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Adds least: for each window of each context the least document of the contexts that hold it."""
+    """h, cid, found: for each window of each context the least document of the contexts that hold it; one value if all are equal."""
     parts, starts, at = [], [], 0
     for c in pdf["context"]:
         parts.append(np.concatenate((np.frombuffer(c, np.uint8).astype(np.int64) + 2, np.ones(1, np.int64))))
@@ -84,7 +84,7 @@ def _least_documents(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     least = np.full(len(s) + 1, _LAST)
     np.minimum.at(least, classes[where], np.repeat(pdf["least"].to_numpy(np.int64), size))
     found = np.split(least[classes[where]], np.cumsum(size)[:-1])
-    return pd.DataFrame({"h": pdf["h"], "context": pdf["context"], "found": [f.tolist() for f in found]})
+    return pd.DataFrame({"h": pdf["h"], "cid": pdf["cid"], "found": [f[:1].tolist() if (f == f[0]).all() else f.tolist() for f in found]})
 
 
 def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes: int) -> DataFrame:
@@ -114,25 +114,26 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes:
 
     mine = (F.col("d") == F.col("_d")) & (F.col("row") == F.col("_row"))
     shown = docs.join(several, mine).select("d", "row", "text", "hs").mapInArrow(contexts, "h long, context binary, d long, row long, at long")
-    places = materialize(shown, "places")
-    one = places.groupBy("h", "context").agg(F.min("d").alias("least"))
+    # a context goes by its anchor's hash and its own: 128 bits
+    places = materialize(shown.withColumn("cid", F.xxhash64("context")).withColumn("size", F.length("context").cast("long")), "places")
+    one = places.groupBy("h", "cid").agg(F.min("d").alias("least"), F.first("context").alias("context"))
     one = materialize(one, "contexts")
     crowds = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("context") + 1).alias("bytes"))
     crowds = materialize(crowds.filter("n > 1"), "crowds")
-    alike = one.join(crowds, "h").select("h", "context", "least", "n")
+    alike = one.join(crowds, "h").select("h", "cid", "context", "least", "n")
     cold = alike.filter(F.col("n") <= hot)
     total = crowds.filter(F.col("n") <= hot).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     tasks = max(1, math.ceil(total / task_bytes))
-    kind = "h long, context binary, found array<long>"
+    kind = "h long, cid long, found array<long>"
     least = cold.withColumn("task", F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int")).groupBy("task").applyInPandas(lambda pdf: _least_documents(pdf, length), kind)
     if crowds.filter(F.col("n") > hot).limit(1).count():
         crowd = alike.filter(F.col("n") > hot)
-        windows = crowd.select("h", "context", "least", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
-        windows = windows.withColumn("window", F.substring("context", F.col("s"), F.lit(length)))
+        windows = crowd.select("h", "cid", "context", "least", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
+        windows = windows.select("h", "cid", "least", "pos", F.substring("context", F.col("s"), F.lit(length)).alias("window"))
         each = windows.groupBy("window").agg(F.min("least").alias("w_least"))
-        by_context = windows.join(each, "window").groupBy("h", "context").agg(F.sort_array(F.collect_list(F.struct("pos", "w_least"))).alias("l"))
-        least = least.unionByName(by_context.select("h", "context", F.col("l.w_least").alias("found")))
-    single = one.join(crowds.select("h"), "h", "left_anti").select("h", "context", F.array("least").alias("found"))
+        by_context = windows.join(each, "window").groupBy("h", "cid").agg(F.sort_array(F.collect_list(F.struct("pos", "w_least"))).alias("l"))
+        least = least.unionByName(by_context.select("h", "cid", F.col("l.w_least").alias("found")))
+    single = one.join(crowds.select("h"), "h", "left_anti").select("h", "cid", F.array("least").alias("found"))
     found = least.unionByName(single)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +149,12 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes:
             cols = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "row", "start", "end"])
 
-    joined = places.join(found, ["h", "context"]).select("d", "row", "at", F.length("context").cast("long").alias("size"), "found")
+    joined = places.select("h", "cid", "d", "row", "at", "size").join(found, ["h", "cid"]).select("d", "row", "at", "size", "found")
     spans = joined.mapInArrow(ranges, "d long, row long, start long, end long")
     return spans.groupBy("d", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 16, hot: int = 20_000, task_bytes: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20_000, task_bytes: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) of every row.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document of
