@@ -181,12 +181,39 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, count:
     return rows.select("doc_id", "v").join(by_class, "v").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+def _marks(words: int, similarity: float, common: np.ndarray):
+    """doc_id, same (a hash of the set), n and the prefix of each text's set of shingles.
+
+    Sets that are ``similarity`` alike share an element of their prefixes, whatever the
+    order of elements is, as long as all have the same one: common shingles come last,
+    others by hash.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, same, sizes, marks = b.column(0), b.column(1), [], [], []
+            for i in range(b.num_rows):
+                h = np.unique(shingle_hashes(texts[i].as_py(), words))
+                at = np.searchsorted(common, h)
+                late = (common[np.minimum(at, len(common) - 1)] == h) if len(common) else np.zeros(len(h), bool)
+                keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                same.append(_set_hash(h))
+                sizes.append(len(h))
+                marks.append(np.concatenate([h[~late], h[late]])[:keep].view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "same", "n", "marks"])
+
+    return made
+
+
+def _set_hash(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED)).view(np.int64))
+
+
 def _shingle_sets(words: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2)
-            sets = [np.unique(shingle_hashes(texts[i].as_py(), words)).astype("<u8").tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["comp", "doc_id", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["same", "shingles"])
 
     return made
 
@@ -201,39 +228,96 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, radius: int = 5, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _common(docs: DataFrame, words: int, sample_docs: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """Shingles that come often in a sample: they only order the prefixes, so what it misses costs time, not pairs."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["h"])
+
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    some = docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    often = some.mapInArrow(made, "h long").groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(most)
+    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _settle(edges: DataFrame, gather: int = 1_000_000) -> DataFrame:
+    """(same, keep) of each class that goes, by the edges (a, b) between similar classes (structs of first and same), a before b.
+
+    In order, a class stays unless one that stays is similar to it.  Rounds take all
+    that nothing earlier can remove, until few enough edges are left for one pass.
+    """
+    spark, gone = edges.sparkSession, None
+    while edges.count() > gather:
+        starts = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+        now = materialize(edges.join(starts, "a", "left_semi").groupBy("b").agg(F.min("a").alias("a")), "settled")
+        gone = now if gone is None else gone.unionByName(now)
+        out = now.select("b")
+        edges = materialize(edges.join(starts, "a", "left_anti").join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti"), "edges")
+    verdict: dict = {}
+    for a, b in sorted((tuple(r["a"]), tuple(r["b"])) for r in edges.collect()):  # at most ``gather``
+        if a not in verdict:
+            verdict.setdefault(b, a)
+    last = spark.createDataFrame([(b[1], a[0]) for b, a in verdict.items()], "same long, keep long")
+    return last if gone is None else last.unionByName(gone.select(F.col("b.same").alias("same"), F.col("a.first").alias("keep")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_pairs: int = 2_000_000, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and keep_id of each document that repeats another: those that near-dedup drops.
 
-    Candidates are documents that ``planes`` independent fingerprints join within
-    radius bits.  In each candidate group the smallest id leads; members whose sets
-    of shingles are at least ``similarity`` alike (Jaccard) are its duplicates, and
-    the rest elect a leader again until none is left, so nothing is dropped that is
-    not that similar to a document that stays.  Each round compares a member with
-    one leader only.  Rows with a null id stay and lead none; rows that repeat the
-    id of a document that stays, stay.
+    By rising id, a document stays unless its set of shingles is at least ``similarity``
+    like (Jaccard) that of one that stays, so none goes that is not that similar to one
+    that stays, and no two that stay are.  All such pairs are found: they share a
+    shingle of their prefixes (see _marks), by which classes of equal sets are joined,
+    and candidates' whole sets are compared.  While that joins more than ``most_pairs``
+    pairs, as large groups of near copies do, a round compares each class only with the
+    first one of each of its shingles; a class that is first for all of its own stays,
+    and those like it go.  Rows with a null id stay and nothing goes for them; rows that
+    repeat the id of a document that stays, stay.
     """
-    known = docs.filter(F.col(id_col).isNotNull())
-    rows = fingerprints(known, words, planes, id_col, text_col)
-    rows = materialize(rows.select("doc_id", "fps", F.xxhash64("fps").alias("v")).distinct(), "fingerprints")
-    comp = materialize(linked_classes(rows, radius, count), "components")
-    sized = rows.select("doc_id", "v").join(comp, "v").select("doc_id", "comp")
-    several = sized.groupBy("comp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("comp")
-    member = sized.join(several, "comp", "left_semi").select(F.col("doc_id").alias("_d"), "comp")
-    texts = known.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("text")).join(member, F.col("_i") == F.col("_d"))
-    sets = texts.select("comp", "_d", "text").mapInArrow(_shingle_sets(words), "comp long, doc_id long, shingles binary")
-    sets = materialize(sets.withColumn("same", F.xxhash64("shingles")), "sets")
-    copies = sets.groupBy("comp", "same").agg(F.min("doc_id").alias("first"))
-    open_ = materialize(copies.join(sets.select(F.col("comp").alias("_c"), F.col("doc_id").alias("_d"), "shingles"), (F.col("comp") == F.col("_c")) & (F.col("first") == F.col("_d"))).select("comp", "same", "first", "shingles").dropDuplicates(["comp", "same"]), "variants")
-    verdicts = None
-    while open_.limit(1).count():
-        lead = open_.groupBy("comp").agg(F.min_by("shingles", "first").alias("led"), F.min("first").alias("leader"))
-        seen = materialize(open_.join(lead, "comp").withColumn("alike", jaccard("shingles", "led") >= similarity), "round")
-        mine = seen.filter("alike OR first = leader").select("comp", "same", "leader")
-        verdicts = mine if verdicts is None else verdicts.unionByName(mine)
-        open_ = seen.filter("NOT alike AND first <> leader").select("comp", "same", "first", "shingles")
-    if verdicts is None:
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id")).limit(0)
-    kept = sets.select("comp", "same", "doc_id").join(verdicts, ["comp", "same"]).select("doc_id", F.col("leader").alias("keep_id"))
+    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    made = _marks(words, similarity, _common(known, words))
+    rows = materialize(known.mapInArrow(made, "doc_id long, same long, n int, marks array<long>"), "marks")
+    classes = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("marks").alias("marks"))
+    at = classes.select(F.struct("first", "same").alias("c"), "n", F.explode("marks").alias("h"))
+    met = lambda r: r.join(r.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi")
+    open_ = materialize(met(at), "open")
+    asked = materialize(open_.select(F.col("c.first").alias("first"), F.col("c.same").alias("_s")).distinct(), "asked")
+    texts = known.join(asked.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_shingle_sets(words), "same long, shingles binary")
+    sets = materialize(sets.join(asked.select(F.col("_s").alias("same")), "same", "left_semi").dropDuplicates(["same"]), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose sets are."""
+        one, two = sets.select(F.col("same").alias("_a"), F.col("shingles").alias("x")), sets.select(F.col("same").alias("_b"), F.col("shingles").alias("y"))
+        both = pairs.join(one, F.col("a.same") == F.col("_a")).join(two, F.col("b.same") == F.col("_b"))
+        return both.filter(jaccard("x", "y") >= similarity).select("a", "b")
+
+    near = lambda p, q: F.least(p, q) >= similarity * F.greatest(p, q) - 1e-9
+    gone = None
+    for _ in range(rounds):
+        sizes = open_.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+        if (sizes.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0) <= most_pairs:
+            break
+        lead = open_.groupBy("h").agg(F.min(F.struct("c", "n")).alias("l"))
+        seen = open_.join(lead, "h").groupBy("c", "n", F.col("l.c").alias("a"), F.col("l.n").alias("m")).agg(F.lit(1).alias("one"))
+        seen = materialize(seen.select("c", "n", "a", "m"), "seen")
+        stay = materialize(seen.groupBy("c").agg(F.min(F.col("a")).alias("a")).filter("a = c").select("c"), "stay")
+        pairs = seen.filter((F.col("a") != F.col("c")) & near(F.col("n"), F.col("m"))).select("a", F.col("c").alias("b")).join(stay.select(F.col("c").alias("a")), "a", "left_semi")
+        now = materialize(alike(pairs).groupBy("b").agg(F.min("a").alias("a")), "gone")
+        verdicts = now.select(F.col("b.same").alias("same"), F.col("a.first").alias("keep"))
+        gone = verdicts if gone is None else gone.unionByName(verdicts)
+        done = stay.unionByName(now.select(F.col("b").alias("c")))
+        open_ = materialize(met(open_.join(done, "c", "left_anti")), "open")
+    left, right = open_.select("h", F.col("c").alias("a"), F.col("n").alias("m")), open_.select("h", F.col("c").alias("b"), "n")
+    pairs = left.join(right, "h").filter((F.col("a") < F.col("b")) & near(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    verdicts = _settle(materialize(alike(pairs), "edges"))
+    gone = verdicts if gone is None else gone.unionByName(verdicts)
+    whole = rows.groupBy("same").agg(F.min("doc_id").alias("first"))
+    keeps = whole.join(gone, "same", "left").select("same", F.coalesce("keep", "first").alias("keep_id"))
+    # a class of its own goes with its first document; the rest of one that stays are copies
+    kept = materialize(rows.select("doc_id", "same").join(keeps, "same").select("doc_id", "keep_id"), "kept")
     leaders = kept.filter("doc_id = keep_id").select("doc_id").distinct()
     return kept.filter("doc_id <> keep_id").join(leaders, "doc_id", "left_anti").distinct()
 

@@ -149,3 +149,27 @@ def test_substrings(odd, empty, plain_rows, hot):
     got = remove_repeats(odd, length, 5, hot)
     assert Counter((*r[:5], bytes(r[5])) for r in got.collect()) == want
     assert remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"most_pairs": 0}, {"most_pairs": 0, "rounds": 2}])
+def test_near_duplicates_finds_every_pair(spark, how):
+    """All pairs at or just above the threshold, against brute force by rising id."""
+    rng, rows = np.random.default_rng(11), []
+    for g in range(30):
+        base = [f"g{g}w{int(x)}" for x in rng.integers(0, 900, 200)]
+        for _ in range(4):
+            w = list(base)
+            for i in rng.choice(200, int(rng.integers(1, 4)), replace=False):
+                w[i] = f"x{int(rng.integers(0, 10**9))}"
+            rows.append(" ".join(w))
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows)]
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert sum(0.8 <= like(a, b) < 0.85 for a in sets for b in sets if a < b) >= 20
+    stay = []
+    for i in sorted(sets):
+        if all(like(i, k) < 0.8 for k in stay):
+            stay.append(i)
+    gone = {r["doc_id"]: r["keep_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    assert sorted(set(sets) - set(gone)) == stay
+    assert all(b in stay and like(a, b) >= 0.8 for a, b in gone.items())
