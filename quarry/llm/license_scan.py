@@ -3,8 +3,8 @@
 Templates are cut into words; of every ``window`` neighbouring runs of ``k`` words
 the least hash is kept, in an inverted index from hash to (template, place).  A
 document keeps hashes by the same rule, so any shared stretch of k + window - 1
-words meets the index.  Hits of one template on neighbouring diagonals form a
-candidate, and an alignment of the template's words with the document's words
+words meets the index.  Hits of one template on neighbouring diagonals that go on
+in both form a candidate (one that starts over is another copy), and an alignment of the template's words with the document's words
 inside a band around them counts matched words.  Templates are a parameter of
 the scan, a list that goes to each task; documents are read one at a time and
 nothing is shuffled, so no frequent licence makes a hot group.
@@ -99,6 +99,59 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> li
     return pairs[::-1]
 
 
+def chains(hits: list[tuple[int, int]], band: int) -> list[list[tuple[int, int]]]:
+    """Hits (document place, template place) dealt into runs that rise in both, each within band diagonals of the one before."""
+    out, live = [], []
+    for p, q in sorted(hits):
+        live = [c for c in live if c[-1][0] - c[-1][1] >= p - q - band or c[-1][0] == p]
+        fit = [c for c in live if c[-1][0] < p and c[-1][1] < q and abs((c[-1][0] - c[-1][1]) - (p - q)) <= band]
+        if fit:
+            min(fit, key=lambda c: abs((c[-1][0] - c[-1][1]) - (p - q))).append((p, q))
+        else:
+            out.append([(p, q)])
+            live.append(out[-1])
+    return out
+
+
+def copies(template: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], k: int, band: int, least: float) -> list[list[tuple[int, int]]]:
+    """Alignments of at least ``least`` words that share no stretch of the document.
+
+    A candidate is aligned between the hits of its neighbours first and, if too few
+    words match, between the copies found so far.  The hits that a copy doesn't cover
+    are dealt again.
+    """
+    found: list[list[tuple[int, int]]] = []
+    todo = chains(hits, band)
+    while todo:
+        todo.sort(key=lambda c: (-len(c), c[0]))
+        mine = todo.pop(0)
+        (p0, _), (p1, _) = mine[0], mine[-1]
+        if any(f[0][1] <= p1 + k - 1 and p0 <= f[-1][1] for f in found):
+            mine = [h for h in mine if all(h[0] + k - 1 < f[0][1] or h[0] > f[-1][1] for f in found)]
+            if mine:
+                cuts = sorted(f[0][1] for f in found)
+                parts: dict[int, list] = defaultdict(list)
+                for h in mine:
+                    parts[int(np.searchsorted(cuts, h[0]))].append(h)
+                todo += parts.values()
+            continue
+        marks = [p - q for p, q in mine]
+        mid, wide = (min(marks) + max(marks)) // 2, band + (max(marks) - min(marks) + 1) // 2
+        lo = max([0, *(f[-1][1] + 1 for f in found if f[-1][1] < p0)])
+        hi = min([len(doc), *(f[0][1] for f in found if f[0][1] > p1)])
+        near = (max([lo, *(c[-1][0] + k for c in todo if c[-1][0] + k <= p0)]), min([hi, *(c[0][0] for c in todo if c[0][0] >= p1 + k)]))
+        for a, z in dict.fromkeys([near, (lo, hi)]):
+            a, z = max(a, mid - wide), min(z, mid + wide + len(template))
+            pairs = [(i, j + a) for i, j in align(template, doc[a:z], mid - a, wide)]
+            if len(pairs) >= least:
+                found.append(pairs)
+                rest = [h for h in mine if h[0] + k - 1 < pairs[0][1] or h[0] > pairs[-1][1]]
+                for side in ([h for h in rest if h[0] < pairs[0][1]], [h for h in rest if h[0] > pairs[-1][1]]):
+                    todo += chains(side, band)
+                break
+    return found
+
+
 def scan_text(text: str | None, index: Index, band: int, coverage: float) -> list[dict]:
     """Matches of one text: license, coverage, matched words, spans [start, end) in bytes of the UTF-8 text; best of those that overlap."""
     words, data = words_at(text)
@@ -106,29 +159,20 @@ def scan_text(text: str | None, index: Index, band: int, coverage: float) -> lis
     runs = index.runs(ids)
     if not len(runs) or not np.isin(runs, index.known).any():
         return []
-    diagonals: dict[int, set[int]] = defaultdict(set)
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in index.kept(ids):
         for t, q in index.post.get(int(runs[p]), ()):
-            diagonals[t].add(p - q)
+            hits[t].append((p, q))
     found, place = [], [m.span() for m in _WORD.finditer(data)]
-    for t, marks in diagonals.items():
-        near: list[list[int]] = []
-        for d in sorted(marks):
-            if near and d - near[-1][-1] <= band:
-                near[-1].append(d)
-            else:
-                near.append([d])
-        for group in near:
-            mid = (group[0] + group[-1]) // 2
-            pairs = align(index.ids[t], ids, mid, band + (group[-1] - group[0] + 1) // 2)
-            if len(pairs) >= coverage * len(index.ids[t]):
-                spans: list[list[int]] = []
-                for _, j in pairs:
-                    if spans and spans[-1][2] + 1 == j:
-                        spans[-1][1:] = [place[j][1], j]
-                    else:
-                        spans.append([*place[j], j])
-                found.append({"license": index.names[t], "coverage": len(pairs) / len(index.ids[t]), "matched": len(pairs), "spans": [{"start": s[0], "end": s[1]} for s in spans]})
+    for t, own in hits.items():
+        for pairs in copies(index.ids[t], ids, own, index.k, band, coverage * len(index.ids[t])):
+            spans: list[list[int]] = []
+            for _, j in pairs:
+                if spans and spans[-1][2] + 1 == j:
+                    spans[-1][1:] = [place[j][1], j]
+                else:
+                    spans.append([*place[j], j])
+            found.append({"license": index.names[t], "coverage": len(pairs) / len(index.ids[t]), "matched": len(pairs), "spans": [{"start": s[0], "end": s[1]} for s in spans]})
     found.sort(key=lambda m: (-m["matched"], -m["coverage"], m["license"], m["spans"][0]["start"]))
     taken: list[dict] = []
     for m in found:  # a longer template hides what it covers

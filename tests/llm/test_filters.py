@@ -108,3 +108,18 @@ def test_clusters_leave_outliers_out():
     x[5, 3] = 1
     c = cluster(x / np.linalg.norm(x, axis=1, keepdims=True), 4)
     assert np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5) and (c @ x[5]).max() < 0.5
+
+
+@pytest.mark.parametrize("notice", ["Released under the MIT License", None])
+@pytest.mark.parametrize("between", ["", "(c) 2020.", "one two three"])
+def test_repeated_notices_are_all_found(notice, between):
+    from quarry.llm.license_scan import Index, scan_text
+    from quarry.llm.license_templates import TEMPLATES
+
+    index = Index(TEMPLATES, 3, 3)
+    for text in [notice] if notice else TEMPLATES.values():
+        one = scan_text(text, index, 8, 0.8)
+        for n in (2, 3, 7):
+            got = scan_text("Before. " + f"\n{between} ".join([text] * n) + " after", index, 8, 0.8)
+            assert [(m["license"], m["matched"]) for m in got] == [(m["license"], m["matched"]) for m in one] * n
+            assert all(a["spans"][-1]["end"] < b["spans"][0]["start"] for a, b in zip(got, got[1:]))
