@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from dataclasses import dataclass
 
@@ -26,6 +27,9 @@ class Result:
 
 
 class Engine:
+    #: Media files that one read is given.
+    open_at_once = 100_000
+
     def __init__(self, spark: SparkSession, root: str, analyzer: text.Analyzer | None = None):
         self.spark, self.catalog = spark, Catalog(spark, root)
         self.analyzer = analyzer or text.Analyzer.english()
@@ -200,8 +204,10 @@ class Engine:
         """Descriptors of the column's files, a vocabulary (of the training folder, or of the column) and the documents' tf-idf, as Parquet."""
         base = f"{self.catalog.root}/{info.name.lower()}/media-{uuid.uuid4().hex}"
         files = self.catalog.read(info).select(F.col(s.column).alias("path")).filter("path IS NOT NULL").distinct()
-        names = [r["path"] for r in files.limit(100_000).collect()]  # paths to open; a larger library is indexed by folder, with TRAIN FROM and find_files
-        own = media.descriptors(self._open(names), s.options["media"], s.options["method"]) if names else None
+        own, names = None, files.toLocalIterator()
+        while some := [r["path"] for r in itertools.islice(names, self.open_at_once)]:  # paths to open; descriptors of all go to Parquet
+            media.descriptors(self._open(some), s.options["media"], s.options["method"]).write.mode("append").parquet(f"{base}/descriptors")
+            own = self.spark.read.parquet(f"{base}/descriptors")
         source = media.descriptors(media.find_files(self.spark, s.options["train"]), s.options["media"], s.options["method"]) if "train" in s.options else own
         if source is None:
             return {}

@@ -89,6 +89,22 @@ def test_media_index(engine, tmp_path):
     assert got[0]["id"] == 1 and abs(got[0]["_similarity_distance"]) < 1e-9 and len(got) == 2
 
 
+def test_media_index_of_more_files_than_are_opened_at_once(engine, spark, tmp_path, monkeypatch):
+    """A limit of 100,000 rows stands for one of two, as for a table that exceeds it."""
+    kind = type(spark.range(1))
+    limit = kind.limit
+    monkeypatch.setattr(kind, "limit", lambda df, n: limit(df, 2 if n == 100_000 else n))
+    monkeypatch.setattr(Engine, "open_at_once", 2, raising=False)
+    for i in range(5):
+        (tmp_path / f"{i}.pgm").write_bytes(b"P5 32 32 255\n" + bytes((x * (1, 7, 40, 90, 3)[i]) % 256 for x in range(1024)))
+    engine.register("paths", spark.createDataFrame([(i, f"{tmp_path}/{i}.pgm") for i in range(5)], "id int, img string"), "id")
+    engine.execute("CREATE TABLE g (id INT KEY, img IMAGE)")
+    engine.catalog.append(engine.catalog.info("g"), engine.table("paths"))
+    engine.execute("CREATE MULTIMEDIA INDEX m ON g (img) WITH TYPE image")
+    base = engine.catalog.info("g").indexes["img"]["base"]
+    assert spark.read.parquet(f"{base}/tfidf").select("path").distinct().count() == 5
+
+
 def test_server(engine):
     engine.execute("CREATE TABLE s (id INT KEY)")
     engine.execute("INSERT INTO s VALUES (1)")
