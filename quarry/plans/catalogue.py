@@ -59,6 +59,10 @@ _sql("count_where", "lineitem", "l_orderkey", "SELECT COUNT(*) FROM lineitem WHE
 
 _register("describe_stats", lambda s, d: relational.describe(_table(s, d, "supplier")).select("column", "rows", "nulls").filter("column LIKE 's_%'"),
           "SELECT * FROM (VALUES ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal')) c(\"column\"), (SELECT count(*) AS rows, 0::BIGINT AS nulls FROM supplier)")
+_LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+_register("describe_all", lambda s, d: relational.describe(_table(s, d, "lineitem")).select("column", "rows", "nulls", *[F.regexp_replace(c, r"^-0\.0$", "0.0").alias(c) for c in ("least", "greatest")]),
+          " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, regexp_replace(min({c})::VARCHAR, '^-0[.]0$', '0.0') AS least, regexp_replace(max({c})::VARCHAR, '^-0[.]0$', '0.0') AS greatest FROM lineitem"
+                             for c in _LINE))
 _register("insert_row", lambda s, d: relational.insert(_table(s, d, "region"), s.createDataFrame([(99, "ATLANTIS")], "r_regionkey int, r_name string"), "r_regionkey"),
           "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'ATLANTIS'")
 _register("delete_by_pk", lambda s, d: relational.delete(_table(s, d, "nation"), "n_nationkey", 3), "SELECT * FROM nation WHERE n_nationkey <> 3")
@@ -138,6 +142,9 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POST = f"WITH {_TOKENS}, p AS (SELECT doc_id AS doc, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d), i AS (SELECT term, doc, count(*) AS tf, min(pos) AS first FROM p GROUP BY 1, 2)"
 _register("text_postings", lambda s, d: _postings(s, d).filter(F.col("term").isin("anwh", "ones")).select("term", "doc", "tf", F.col("positions")[0].cast("long").alias("first")),
           _POST + " SELECT term, doc, tf, first FROM i WHERE term IN ('anwh', 'ones')")
+_register("text_postings_all", lambda s, d: _postings(s, d).select("term", "doc", "tf", F.md5(F.array_join(F.col("positions").cast("array<string>"), ",").cast("binary")).alias("positions")),
+          f"WITH {_TOKENS}, p AS (SELECT doc_id AS doc, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d)"
+          " SELECT term, doc, count(*) AS tf, md5(string_agg(pos::VARCHAR, ',' ORDER BY pos)) AS positions FROM p GROUP BY 1, 2")
 _register("text_top_terms", lambda s, d: text.top_terms(_postings(s, d)), _POST + " SELECT term, count(*) AS df FROM i GROUP BY 1 ORDER BY df DESC, term LIMIT 10")
 
 
@@ -152,6 +159,7 @@ def _with_n(build):
 _N = ", n AS (SELECT count(*) AS n FROM documents WHERE length(trim(text)) > 0), f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), v AS (SELECT doc, term, tf * ln(n / df) AS x FROM i JOIN f USING (term), n)"
 _register("text_tfidf", _with_n(lambda i, n: text.tf_idf(i, n).filter("term = 'anwh'").select("doc", "term", F.round("tf_idf", 6).alias("tf_idf"))),
           _POST + _N + " SELECT doc, term, round(x, 6) AS tf_idf FROM v WHERE term = 'anwh'")
+_register("text_tfidf_all", _with_n(lambda i, n: text.tf_idf(i, n).select("doc", "term", F.round("tf_idf", 6).alias("tf_idf"))), _POST + _N + " SELECT doc, term, round(x, 6) AS tf_idf FROM v")
 _register("text_ranked_cosine", _with_n(lambda i, n: text.ranked_cosine(i, "anwh ones hent", n).select("doc", F.round("_score", 6).alias("score"))),
           _POST + _N + ", l AS (SELECT doc, sqrt(sum(x * x)) AS l FROM v GROUP BY 1), q AS (SELECT term, ln(n / df) AS q FROM f, n WHERE term IN ('anwh', 'ones', 'hent'))"
           " SELECT doc, round(sum(x * q) / (any_value(l) * (SELECT sqrt(sum(q * q)) FROM q)), 6) AS score FROM v JOIN q USING (term) JOIN l USING (doc) GROUP BY doc ORDER BY sum(x * q) / any_value(l) DESC, doc LIMIT 10")

@@ -27,3 +27,11 @@ def test_query(name, spark, sf, duck):
         want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_whole_results_are_registered(spark, sf, duck):
+    """Every term, position and lineitem column, not those of one or two terms."""
+    n = duck.execute(ORACLES["text_postings_all"]).df()
+    assert n["term"].nunique() > 100 and n["tf"].max() > 1
+    assert len(duck.execute(ORACLES["text_tfidf_all"]).df()) == len(n)
+    assert QUERIES["describe_all"](spark, sf).count() == len(duck.execute("DESCRIBE lineitem").df())
