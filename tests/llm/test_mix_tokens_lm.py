@@ -165,3 +165,17 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_every_training_token_reaches_a_gradient(spark):
+    """More documents than any sample of 600; few tokens are read in each of four rounds, more once."""
+    from quarry.llm.recurrent_lm import Lexicon, blocks_of, held_out, train
+
+    docs = spark.createDataFrame([(i, f"common w{i % 7} {'more ' * (i % 3)}") for i in range(1500)], "doc_id long, text string").repartition(3)
+    blocks = blocks_of(docs.withColumn("held", held_out()), 500)
+    tokens = sum(len(tokens_of(r["text"])) for r in docs.filter(~held_out()).collect())
+    lexicon = Lexicon([("common", 9), ("", 9), ("more", 5), ("w1", 1)], 4, 3)
+    assert train(blocks, lexicon, tokens)[1] == 4 * tokens
+    model, seen = train(blocks, lexicon, tokens, few=100, tasks=2)
+    assert seen == tokens
+    assert (model.p["Ww"] != Gru(len(lexicon.words) + 4, lexicon.bounds, 4).p["Ww"]).any()
