@@ -61,9 +61,11 @@ class Catalog:
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(json.dumps(asdict(info)).encode()))
         stream.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(temporary, target)
+        jvm = self.spark._jvm
+        options = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(files.makeQualified(temporary), files.makeQualified(target), options)
 
     def read(self, info: TableInfo) -> DataFrame:
         if not info.parts:
@@ -79,6 +81,11 @@ class Catalog:
         info.parts.append(self.write_part(info, rows))
         self.save(info)
 
+    def width(self, info: TableInfo) -> dict[str, int | None]:
+        """The bytes that a value of each column takes at most; None where there is no bound."""
+        fixed = {"INT": 4, "FLOAT": 8, "BOOLEAN": 1, "DATE": 4}
+        return {c: fixed.get(parse_type(t).name) or parse_type(t).limit for c, t in info.columns.items()}
+
     def replace(self, info: TableInfo, rows: DataFrame) -> None:
         """A new snapshot, sorted by key so that files and row groups can be skipped; the old files go after the switch."""
         old, info.parts = info.parts, [self.write_part(info, rows.repartitionByRange(info.key).sortWithinPartitions(info.key))]

@@ -1,20 +1,16 @@
-"""Planar geometry in WKT: bounds and distances, for drivers and Arrow batches."""
+"""Planar geometry in WKT: bounds and distances, on the driver and as expressions."""
 
 from __future__ import annotations
 
 import math
 import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _PAIR = re.compile(rf"({_NUMBER})\s+({_NUMBER})")
 _KIND = re.compile(r"\s*(MULTI)?(POINT|POLYGON|LINESTRING)\s*\(", re.I)
-BOX = StructType([StructField(n, DoubleType()) for n in ("minx", "miny", "maxx", "maxy")])
 
 
 def points(wkt: str) -> list[tuple[float, float]]:
@@ -59,37 +55,61 @@ def distance(wkt: str, x: float, y: float) -> float:
     return min(_to_segment(x, y, a, b) for r in rings for a, b in zip(r, r[1:] or r, strict=False))
 
 
-def box_of(column: Column) -> Column:
-    """The bounding box of WKT: points stay in the JVM, other geometries go through Arrow; null where it isn't WKT."""
-
-    @F.pandas_udf(BOX)
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        def one(text):
-            try:
-                return bounds(text) if text is not None else (np.nan,) * 4
-            except ValueError:
-                return (np.nan,) * 4
-
-        return pd.DataFrame([one(t) for t in texts], columns=BOX.names, dtype=float)
+def _numbers(text: Column, group: int) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_PAIR.pattern), F.lit(group)), lambda v: v.cast("double"))
 
-    pattern = rf"(?i)^\s*POINT\s*\(\s*({_NUMBER})\s+({_NUMBER})\s*\)\s*$"
-    x, y = (F.regexp_extract(column, pattern, i).try_cast("double") for i in (1, 2))
-    box = F.struct(x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"))
-    other = parsed(column)
-    return F.when(column.isNull(), None).when(column.rlike(pattern), box).otherwise(F.when(~F.isnan(other["minx"]), other))
 
+def is_geometry(column: Column) -> Column:
+    return column.rlike(r"(?i)^\s*(MULTI)?(POINT|POLYGON|LINESTRING)\s*\(") & column.rlike(_PAIR.pattern)
 
-def distance_to(column: Column, x: float, y: float) -> Column:
-    """distance() of each geometry from (x, y)."""
 
-    @F.pandas_udf(DoubleType())
-    def away(texts: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return distance(text, x, y) if text is not None else None
-            except ValueError:
-                return None
+def box_of(column: Column) -> Column:
+    """The bounding box of WKT; null where it isn't WKT."""
+    x, y = _numbers(column, 1), _numbers(column, 2)
+    box = F.struct(F.array_min(x).alias("minx"), F.array_min(y).alias("miny"), F.array_max(x).alias("maxx"), F.array_max(y).alias("maxy"))
+    point = rf"(?i)^\s*POINT\s*\(\s*({_NUMBER})\s+({_NUMBER})\s*\)\s*$"
+    px, py = (F.regexp_extract(column, point, i).try_cast("double") for i in (1, 2))
+    one = F.struct(px.alias("minx"), py.alias("miny"), px.alias("maxx"), py.alias("maxy"))
+    return F.when(column.rlike(point), one).when(is_geometry(column), box)
 
-        return pd.Series([one(t) for t in texts], dtype="float64")
 
-    return away(column)
+def distance_to(column: Column, x: float, y: float) -> Column:
+    """distance() of each geometry from (x, y); null where it isn't WKT."""
+    px, py = F.lit(float(x)), F.lit(float(y))
+    rings = F.transform(F.regexp_extract_all(column, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda r: F.struct(_numbers(r, 1).alias("x"), _numbers(r, 2).alias("y")))
+    near = lambda ax, ay: F.sqrt((ax - px) * (ax - px) + (ay - py) * (ay - py))
+
+    def segment(r: Column, i: Column) -> Column:
+        ax, ay = r["x"][i], r["y"][i]
+        j = F.least(i + 1, F.size(r["x"]) - 1)
+        dx, dy = r["x"][j] - ax, r["y"][j] - ay
+        long = dx * dx + dy * dy
+        t = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / long))).otherwise(0.0)
+        return near(ax + t * dx, ay + t * dy)
+
+    def crossings(r: Column) -> Column:
+        n = F.size(r["x"])
+
+        def crosses(i: Column) -> Column:
+            j = F.pmod(i + 1, n)
+            x0, y0, x1, y1 = r["x"][i], r["y"][i], r["x"][j], r["y"][j]
+            return ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
+
+        return F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses))
+
+    edges = lambda r: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(r["x"]) - 2, F.lit(0))), lambda i: segment(r, i)))
+    filled = F.filter(rings, lambda r: F.size(r["x"]) > 0)
+    inside = column.rlike(r"(?i)^\s*(MULTI)?POLYGON") & (F.pmod(F.aggregate(F.transform(filled, crossings), F.lit(0), lambda a, b: a + b), F.lit(2)) == 1)
+    points = F.array_min(F.transform(filled, lambda r: F.array_min(F.zip_with(r["x"], r["y"], near))))
+    kind = F.when(column.rlike(r"(?i)^\s*(MULTI)?POINT"), points).otherwise(F.array_min(F.transform(filled, edges)))
+    return F.when(is_geometry(column), F.when(inside, 0.0).otherwise(kind))
+
+
+def from_mapping(shape: dict) -> str:
+    """WKT of a mapping with type and coordinates: a Point, or a Polygon by its outer ring."""
+    kind, at = shape.get("type"), shape.get("coordinates")
+    if kind == "Point":
+        return f"POINT({at[0]} {at[1]})"
+    if kind == "Polygon":
+        return "POLYGON((" + ", ".join(f"{x} {y}" for x, y in at[0]) + "))"
+    raise ValueError(f"not a point or polygon: {kind!r}")

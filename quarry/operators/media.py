@@ -1,15 +1,19 @@
 """Media files: discovery, content-addressed storage, local descriptors.
 
 Extractors take a file's bytes and return a matrix of local descriptors.  Those
-below need numpy only: oriented-gradient patches for uncompressed images (PGM,
-PPM) and cepstra or spectra for WAV audio; others can be registered.  A file that
+below need numpy only: oriented-gradient patches for images (PNG, PGM, PPM) and
+cepstra or spectra for WAV audio; others can be registered.  A file that
 no extractor can read gets an error instead of made-up vectors.
 """
 
 from __future__ import annotations
 
 import io
+import struct
+import time
+import uuid
 import wave
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -31,7 +35,11 @@ def extractor(media: str, method: str) -> Extractor:
     media, method = media.lower(), method.lower()
     if media not in {m for m, _ in _EXTRACTORS}:
         raise QuarryError(f"no extractor for {media}")
-    return _EXTRACTORS.get((media, method)) or _EXTRACTORS[media, {"image": "sift", "audio": "mfcc"}[media]]
+    if media == "audio":  # other audio methods stand for the usual one
+        return _EXTRACTORS.get((media, method)) or _EXTRACTORS[media, "mfcc"]
+    if (media, method) not in _EXTRACTORS:
+        raise QuarryError(f"no {method} extractor for {media} is registered")
+    return _EXTRACTORS[media, method]
 
 
 def find_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ()) -> DataFrame:
@@ -47,6 +55,45 @@ def store(files: DataFrame) -> DataFrame:
     return files.select("path", F.md5("content").alias("md5"), F.concat(F.md5("content"), ext).alias("stored_name"), "length")
 
 
+class MediaStore:
+    """Contents by name (md5 and extension) in Parquet below root; equal contents are kept once."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def read(self) -> DataFrame:
+        """stored_name, content, length."""
+        schema = "stored_name string, content binary, length long"
+        if not self._fs.exists(self._path(self.root)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(self.root)
+
+    def put(self, files: DataFrame) -> DataFrame:
+        """Adds what isn't there; path and stored_name of each of files (path, content, length)."""
+        named = files.join(store(files).select("path", "stored_name"), "path")
+        new = named.join(self.read().select("stored_name"), "stored_name", "left_anti")
+        first = new.groupBy("stored_name").agg(F.min("path").alias("path"))
+        new.join(first, ["stored_name", "path"], "left_semi").dropDuplicates(["stored_name", "path"]).select("stored_name", "content", "length").write.parquet(f"{self.root}/{uuid.uuid4().hex}")
+        return named.select("path", "stored_name")
+
+    def exists(self, name: str) -> bool:
+        return self.read().filter(F.col("stored_name") == name).limit(1).count() > 0
+
+    def remove(self, name: str) -> bool:
+        """Whether it was there.  Files that hold it are written anew without it before they go."""
+        where = self.read().filter(F.col("stored_name") == name).select(F.input_file_name().alias("f")).distinct().collect()
+        for r in where:  # equal contents are kept once: one file
+            rest = self.spark.read.schema("stored_name string, content binary, length long").parquet(r["f"]).filter(F.col("stored_name") != name)
+            rest.write.parquet(f"{self.root}/{uuid.uuid4().hex}")
+            self._fs.delete(self._path(r["f"]), False)
+        return bool(where)
+
+    def stats(self) -> DataFrame:
+        return storage_stats(self.read())
+
+
 def storage_stats(stored: DataFrame) -> DataFrame:
     one = stored.groupBy("stored_name").agg(F.first("length").alias("length"))
     return one.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_size"))
@@ -68,8 +115,53 @@ def descriptors(files: DataFrame, media: str, method: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(made, "path string, descriptor array<double>, extract_error string")
 
 
+def _png(data: bytes) -> np.ndarray:
+    """Grey levels of a PNG of eight bits a channel that isn't interlaced."""
+    at, packed, palette = 8, b"", None
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            w, h, depth, colour, _, _, woven = struct.unpack(">IIBBBBB", body)
+            if depth != 8 or woven:
+                raise ValueError("only PNG of eight bits a channel that isn't interlaced can be read")
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed += body
+        at += 12 + size
+    planes = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * planes)
+    rows, above = np.zeros((h, w, planes), np.uint8), np.zeros((w, planes), np.int64)
+    for y in range(h):
+        how, line = raw[y, 0], raw[y, 1:].reshape(w, planes).astype(np.int64)
+        if how == 1:
+            line = np.cumsum(line, axis=0)
+        elif how == 2:
+            line = line + above
+        elif how in (3, 4):
+            line = line.copy()
+            left, corner = np.zeros(planes, np.int64), np.zeros(planes, np.int64)
+            for x in range(w):
+                if how == 3:
+                    guess = (left + above[x]) // 2
+                else:
+                    p = left + above[x] - corner
+                    a, b, c = abs(p - left), abs(p - above[x]), abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above[x], corner))
+                left, corner = (line[x] + guess) % 256, above[x]
+                line[x] = left
+        above = line % 256
+        rows[y] = above
+    if palette is not None:
+        return palette[rows[:, :, 0]].astype(float).mean(axis=2)
+    return rows[:, :, : planes - (planes in (2, 4))].astype(float).mean(axis=2)
+
+
 def read_image(data: bytes) -> np.ndarray:
-    """Grey levels of a binary PGM or PPM."""
+    """Grey levels of a PNG, or a binary PGM or PPM."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(data)
     fields, at = [], 0
     while len(fields) < 4:
         end = at
@@ -102,12 +194,16 @@ def gradient_patches(data: bytes, patch: int = 16) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def _frames(data: bytes, size: int = 2048, hop: int = 512) -> tuple[np.ndarray, int]:
+def _frames(data: bytes, size: int = 1024, hop: int = 512, want: int = 22050) -> tuple[np.ndarray, int]:
+    """Windows of the sound at ``want`` samples a second, and that rate."""
     with wave.open(io.BytesIO(data)) as f:
         kind = {1: np.uint8, 2: "<i2", 4: "<i4"}[f.getsampwidth()]
         x = np.frombuffer(f.readframes(f.getnframes()), kind).astype(float).reshape(-1, f.getnchannels()).mean(axis=1)
         rate = f.getframerate()
     x = (x - 128) / 128 if kind is np.uint8 else x / float(np.iinfo(kind).max)
+    if rate != want and len(x):
+        x = np.interp(np.arange(0, len(x) / rate, 1 / want), np.arange(len(x)) / rate, x)
+        rate = want
     x = np.pad(x, (0, max(0, size - len(x))))
     return np.lib.stride_tricks.sliding_window_view(x, size)[::hop], rate
 
@@ -152,6 +248,22 @@ def spectral(data: bytes) -> np.ndarray:
     return _hundred(np.tile(_spectral(frames, power, rate), (1, 4)))
 
 
+def single_vector(data: bytes) -> np.ndarray:
+    """The mean of mfcc(), a hundred times."""
+    return np.repeat(mfcc(data).mean(axis=0, keepdims=True), 100, axis=0)
+
+
+def speed(data: bytes) -> dict[str, float]:
+    """Seconds that local descriptors and the single vector of a sound take."""
+    out = {}
+    for name, extract in (("local", mfcc), ("single", single_vector)):
+        began = time.perf_counter()
+        extract(data)
+        out[name] = time.perf_counter() - began
+    return out
+
+
+register_extractor("audio", "single", single_vector)
 register_extractor("image", "sift", gradient_patches)
 register_extractor("audio", "mfcc", mfcc)
 register_extractor("audio", "spectral", spectral)

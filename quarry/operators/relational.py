@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +22,32 @@ def column(df: DataFrame, name: str) -> Column:
     return df[name]
 
 
+_WHOLE = {"smallint": 15, "int": 31, "bigint": 63}
+
+
 def literal(df: DataFrame, name: str, value) -> Column:
-    """value as the column's type; an error if it isn't one."""
+    """value for comparing with the column, in a wider type if the column's can't hold it; an error if it isn't of its kind."""
     kind = df.schema[name].dataType.simpleString()
     if value is None:
         return F.lit(None).cast(kind)
-    out = F.lit(value).try_cast(kind)
-    # a cast of a literal is folded on the driver: no job runs here
-    if kind in ("int", "bigint", "smallint", "double", "float", "boolean") and isinstance(value, str):
+    wrong = QuarryError(f"{value!r} is not a {kind} for {name}")
+    if isinstance(value, str) and kind in (*_WHOLE, "double", "float", "boolean"):
         try:
-            float(value) if kind != "boolean" else {"true": 1, "false": 0}[value.lower()]
+            value = {"true": True, "false": False}[value.lower()] if kind == "boolean" else float(value) if kind in ("double", "float") or not re.fullmatch(r"[-+]?\d+", value) else int(value)
         except (ValueError, KeyError):
-            raise QuarryError(f"{value!r} is not a {kind} for {name}") from None
-    if isinstance(value, float) and kind in ("int", "bigint", "smallint"):
+            raise wrong from None
+    if kind in _WHOLE and isinstance(value, int) and not isinstance(value, bool):
+        if -(2 ** _WHOLE[kind]) <= value < 2 ** _WHOLE[kind]:
+            return F.lit(value).cast(kind)
+        return F.lit(str(value)).cast("decimal(38,0)") if abs(value) < 10**38 else F.lit(float(value))
+    if kind in _WHOLE and isinstance(value, float):
         return F.lit(value)  # 2.5 compares as a number, not as 2
-    return out
+    if kind in ("date", "timestamp"):
+        try:
+            datetime.fromisoformat(str(value).strip())
+        except ValueError:
+            raise wrong from None
+    return F.lit(value).try_cast(kind)
 
 
 def compare(df: DataFrame, name: str, op: str, value) -> Column:
@@ -41,6 +55,28 @@ def compare(df: DataFrame, name: str, op: str, value) -> Column:
     return _OPS[op](column(df, name), literal(df, name, value))
 
 
+def is_in(df: DataFrame, name: str, values: list) -> Column:
+    return column(df, name).isin(*[literal(df, name, v) for v in values])
+
+
+def like(df: DataFrame, name: str, pattern: str) -> Column:
+    """% stands for any characters, _ for one."""
+    return column(df, name).cast("string").like(pattern)
+
+
+def ordered(df: DataFrame, keys: list[tuple[str, bool]], key: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """By keys (name, descending), ties by the table's key; nulls first when ascending and last when descending."""
+    by = [column(df, n).desc() if down else column(df, n).asc() for n, down in keys]
+    out = df.orderBy(*by, *([df[key]] if key in df.columns else []))
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
+
+
+def page(df: DataFrame, key: str, number: int, size: int = 5) -> DataFrame:
+    """Page number (from 1) of the rows by key."""
+    return ordered(df, [(key, False)], key, size, (number - 1) * size)
+
+
 def between(df: DataFrame, name: str, low, high) -> Column:
     return column(df, name).between(literal(df, name, low), literal(df, name, high))
 

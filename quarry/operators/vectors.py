@@ -71,31 +71,56 @@ def tf_idf(hist: DataFrame, doc: str, cluster: str = "cluster") -> DataFrame:
     return hist.join(df, cluster).select(doc, cluster, "tf", "df", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("tf_idf"))
 
 
-def nearest_words(weighed: DataFrame, doc: str, query: dict[int, float], k: int = 5, cluster: str = "cluster") -> DataFrame:
-    """doc, _similarity_distance, _similarity_score of the k documents nearest to the query's tf-idf by cosine."""
+def _angle(weighed: DataFrame, doc: str, query: dict[int, float], k: int, cluster: str) -> DataFrame:
     length = sum(v * v for v in query.values()) ** 0.5
     pairs = F.array(*[F.lit(float(query.get(c, 0.0))) for c in range(max(query, default=0) + 1)])
     q = F.coalesce(F.try_element_at(pairs, F.col(cluster) + 1), F.lit(0.0))
-    sums = weighed.groupBy(doc).agg(F.sum(F.col("tf_idf") * q).alias("dot"), F.sqrt(F.sum(F.col("tf_idf") * F.col("tf_idf"))).alias("norm"))
+    sums = weighed.groupBy(doc).agg(F.sum(F.col("tf_idf") * q).alias("dot"), F.sqrt(F.sum(F.col("tf_idf") * F.col("tf_idf"))).alias("norm"), F.max(q).alias("most"))
     far = F.when((F.col("norm") > 0) & F.lit(length > 0), 1 - F.col("dot") / (F.col("norm") * F.lit(length or 1.0))).otherwise(1.0)
-    return with_score(sums.select(doc, far.alias("_similarity_distance")).orderBy("_similarity_distance", doc).limit(k))
+    return sums.select(doc, far.alias("_similarity_distance"), "most")
+
+
+def nearest_words(weighed: DataFrame, doc: str, query: dict[int, float], k: int = 5, cluster: str = "cluster") -> DataFrame:
+    """doc, _similarity_distance, _similarity_score of the k documents nearest to the query's tf-idf by cosine."""
+    return with_score(_angle(weighed, doc, query, k, cluster).drop("most").orderBy("_similarity_distance", doc).limit(k))
 
 
 def nearest_words_pruned(weighed: DataFrame, doc: str, query: dict[int, float], k: int = 5, clusters: int = 10, cluster: str = "cluster") -> DataFrame:
-    """nearest_words() among documents that share one of the query's heaviest clusters, more of them until k are found."""
-    order = [c for c, v in sorted(query.items(), key=lambda x: (-x[1], x[0])) if v > 0]
-    take = clusters
-    while True:
-        near = weighed.filter(F.col(cluster).isin(*order[:take])).select(doc).distinct()
-        if take >= len(order) or near.limit(k).count() >= k:
-            return nearest_words(weighed.join(near, doc, "left_semi"), doc, query, k, cluster)
-        take *= 2
+    """nearest_words() among documents that share one of the query's heaviest clusters, more of them where these have fewer than k.
+
+    One pass: each document's sums carry the query's heaviest weight that it shares, and
+    documents below the weight that ``clusters`` reach come only after the others.
+    """
+    heavy = sorted((v for v in query.values() if v > 0), reverse=True)
+    floor = heavy[min(clusters, len(heavy)) - 1] if heavy else 0.0
+    found = _angle(weighed, doc, query, k, cluster).withColumn("_late", F.col("most") < F.lit(floor))
+    return with_score(found.orderBy("_late", "_similarity_distance", doc).limit(k).drop("most", "_late"))
 
 
 def remove(df: DataFrame, key: str, values: list) -> DataFrame:
     return df.filter(~F.col(key).isin(*values))
 
 
+def get(df: DataFrame, key: str, value) -> DataFrame:
+    return df.filter(F.col(key) == value)
+
+
+def ordered_clusters(weighed: DataFrame, doc: str, value, cluster: str = "cluster") -> DataFrame:
+    """The clusters of one document from the heaviest; ties by number."""
+    return weighed.filter(F.col(doc) == value).select(cluster, "tf_idf").orderBy(F.desc("tf_idf"), cluster)
+
+
+def distance(df: DataFrame, key: str, vector: str, a, b) -> DataFrame:
+    """_similarity_distance between the vectors of two keys; no row if either isn't there."""
+    one, two = (df.filter(F.col(key) == k).select(doubles(F.col(vector)).alias(n)) for k, n in ((a, "_a"), (b, "_b")))
+    both = one.withColumn("_one", F.lit(1)).join(two.withColumn("_one", F.lit(1)), "_one")
+    return both.select(cosine_distance(F.col("_a"), F.col("_b")).alias("_similarity_distance"))
+
+
+def mean_similarity(hits: DataFrame) -> DataFrame:
+    return hits.agg(F.avg("_similarity_score").alias("mean_similarity"))
+
+
 def confidence(hits: DataFrame) -> DataFrame:
     """hits with percent = score * 100 to one place, and its band: high from 70, medium from 50, else low."""
     percent = F.round(F.col("_similarity_score") * 100, 1)

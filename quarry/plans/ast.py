@@ -50,7 +50,12 @@ class DropTable:
 @dataclass(frozen=True)
 class Insert:
     table: str
-    values: tuple[Any, ...]
+    rows: tuple[tuple[Any, ...], ...]
+
+    @property
+    def values(self) -> tuple[Any, ...]:
+        """The first row."""
+        return self.rows[0]
 
 
 @dataclass(frozen=True)
@@ -86,6 +91,29 @@ class Contains:
     limit: int | None = None
 
 
+@dataclass(frozen=True)
+class Phrase:
+    column: str
+    query: str
+
+
+@dataclass(frozen=True)
+class IsIn:
+    column: str
+    values: tuple[Any, ...]
+
+
+@dataclass(frozen=True)
+class Like:
+    column: str
+    pattern: str
+
+
+@dataclass(frozen=True)
+class IsNull:
+    column: str
+
+
 @dataclass(frozen=True)
 class RankedBy:
     column: str
@@ -150,3 +178,5 @@ class Select:
     where: Any = None
     limit: int | None = None
     count: bool = False
+    order: tuple[tuple[str, bool], ...] = ()  # columns, and whether they descend
+    offset: int = 0

@@ -2,7 +2,8 @@
 
 Keywords ignore case.  Quoted text keeps its type; a doubled quote stands for one.
 Besides the dialect's single conditions, AND, OR, NOT and parentheses combine
-ordinary ones, and SELECT takes COUNT(*) and a LIMIT.
+ordinary ones (IN lists, LIKE and IS NULL among them), INSERT takes several rows,
+and SELECT takes COUNT(*), ORDER BY, LIMIT and OFFSET.
 """
 
 from __future__ import annotations
@@ -112,6 +113,19 @@ class _Parser:
         word = self.name()
         return {"null": None, "true": True, "false": False}.get(word.lower(), word)
 
+    def values(self) -> tuple[Any, ...]:
+        """Values in parentheses."""
+        self.need("(")
+        out = [self.value()]
+        while self.see(","):
+            out.append(self.value())
+        self.need(")")
+        return tuple(out)
+
+    def is_radius(self) -> bool:
+        """Whether IN is followed by a point and a radius, rather than by plain values."""
+        return self.peek(1)[1] == "(" and (self.peek(2)[1] == "(" or (self.peek(2)[0] == "word" and self.peek(2)[1].upper() in _WKT) or (self.peek(2)[0] == "text" and re.match(r".\s*POINT\s*\(", self.peek(2)[1], re.I) is not None))
+
     def point(self) -> tuple[float, float]:
         geometry = self.wkt() or (self.text() if self.peek()[0] == "text" else None)
         if geometry:
@@ -167,8 +181,23 @@ class _Parser:
             return ast.SimilarTo(column, self.text(), self.limit(5))
         if self.see("CONTAINS"):
             return ast.Contains(column, self.text(), self.limit(None))
+        if self.see("PHRASE"):
+            return ast.Phrase(column, self.text())
         if self.see("RANKED", "BY"):
             return ast.RankedBy(column, self.text(), self.limit(5))
+        if self.see("IS", "NULL"):
+            return ast.IsNull(column)
+        if self.see("IS", "NOT", "NULL"):
+            return ast.Not(ast.IsNull(column))
+        if self.see("NOT", "IN"):
+            return ast.Not(ast.IsIn(column, self.values()))
+        if self.see("NOT", "LIKE"):
+            return ast.Not(ast.Like(column, self.text()))
+        if self.see("LIKE"):
+            return ast.Like(column, self.text())
+        if self.peek()[1].upper() == "IN" and not self.is_radius():
+            self.need("IN")
+            return ast.IsIn(column, self.values())
         if self.see("WITHIN") or self.see("IN"):
             self.need("(")
             point = self.point()
@@ -222,12 +251,10 @@ class _Parser:
         if self.see("INSERT", "INTO"):
             table = self.name()
             self.need("VALUES")
-            self.need("(")
-            values = [self.value()]
+            rows = [self.values()]
             while self.see(","):
-                values.append(self.value())
-            self.need(")")
-            return ast.Insert(table, tuple(values))
+                rows.append(self.values())
+            return ast.Insert(table, tuple(rows))
         if self.see("DELETE", "FROM"):
             table = self.name()
             self.need("WHERE")
@@ -312,7 +339,17 @@ class _Parser:
         self.need("FROM")
         table = self.name()
         where = self.either() if self.see("WHERE") else None
-        return ast.Select(table, tuple(columns) if columns else None, top, where, self.limit(None), count)
+        order = []
+        if self.see("ORDER", "BY"):
+            order.append((self.name(), self.direction()))
+            while self.see(","):
+                order.append((self.name(), self.direction()))
+        limit = self.limit(None)
+        return ast.Select(table, tuple(columns) if columns else None, top, where, limit, count, tuple(order), self.integer() if self.see("OFFSET") else 0)
+
+    def direction(self) -> bool:
+        """Whether DESC comes next; ASC is the same as nothing."""
+        return self.see("DESC") or (self.see("ASC") and False)
 
 
 def parse(sql: str) -> Any:

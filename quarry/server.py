@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.server
 import json
 import socket
 import socketserver
@@ -54,6 +55,25 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 54321) -> sockets
     return socketserver.ThreadingTCPServer((host, port), Handler)
 
 
+def serve_http(engine: Engine, host: str = "127.0.0.1", port: int = 54322) -> http.server.ThreadingHTTPServer:
+    """The same answers to statements that POST requests bring; bound and not yet running."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self) -> None:
+            sql = self.rfile.read(int(self.headers.get("Content-Length", 0))).decode()
+            body = answer(engine, sql).encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args) -> None:
+            pass
+
+    return http.server.ThreadingHTTPServer((host, port), Handler)
+
+
 class Client:
     def __init__(self, host: str = "127.0.0.1", port: int = 54321):
         self.address = (host, port)

@@ -54,8 +54,12 @@ class LogicalType:
 
     def fits(self, column: Column) -> Column:
         """Whether a value is within the declared length, which counts UTF-8 bytes."""
-        limit = self.length or {True: 500}.get(self.name in SPATIAL) or {True: 255}.get(self.name in MEDIA)
-        return F.coalesce(F.octet_length(column.cast("string")) <= limit, F.lit(True)) if limit and self.spark == "string" else F.lit(True)
+        return F.coalesce(F.octet_length(column.cast("string")) <= self.limit, F.lit(True)) if self.limit else F.lit(True)
+
+    @property
+    def limit(self) -> int | None:
+        """The most bytes of a text, a geometry or a path; None for other types."""
+        return self.length or (500 if self.name in SPATIAL else 255 if self.name in MEDIA else None)
 
 
 def parse_type(text: str) -> LogicalType:

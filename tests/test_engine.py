@@ -57,6 +57,131 @@ def test_load(engine, tmp_path):
         engine.execute("CREATE TABLE z FROM FILE 'z.xml' USING INDEX seq('id')")
 
 
+def test_json_lines_and_export(engine, spark, tmp_path):
+    from quarry.sources import ingest
+
+    ingest.export(spark.range(50).selectExpr("id", "concat('n', id) AS name"), f"file://{tmp_path}/x.json")
+    engine.execute(f"CREATE TABLE x FROM FILE 'file://{tmp_path}/x.json' USING INDEX seq('id')")
+    assert rows(engine.execute("SELECT COUNT(*) FROM x")) == [(50,)]
+
+
+def test_left_out_rows_are_told(engine, tmp_path):
+    (tmp_path / "x.csv").write_text("id,v\n1,a\n2,b\n2,c\n,d\n")
+    said = engine.execute(f"CREATE TABLE x FROM FILE 'file://{tmp_path}/x.csv' USING INDEX seq('id')").message
+    assert "1 rows left out: the key comes again" in said and "1 rows left out: the key is null" in said
+    (tmp_path / "y.csv").write_text("id,v\n7,z\n2,again\n")
+    with pytest.raises(QuarryError):
+        engine.append_file("x", f"file://{tmp_path}/y.csv")
+    (tmp_path / "y.csv").write_text("id,v\n7,z\n8,\n")
+    assert engine.append_file("x", f"file://{tmp_path}/y.csv").message == "2 rows inserted"
+    assert engine.execute("DELETE FROM x WHERE id = 99").message == "0 rows deleted"
+    assert engine.execute("DELETE FROM x WHERE id = 7").message == "1 row deleted"
+
+
+def test_literals(engine, spark):
+    engine.register("t", spark.range(5).selectExpr("CAST(id AS INT) AS id", "date_add('2020-01-01', CAST(id AS INT)) AS d"), "id")
+    assert rows(engine.execute("SELECT id FROM t WHERE id < 99999999999 AND id > -99999999999999999999 AND d >= '2020-01-04'")) == [(3,), (4,)]
+    assert rows(engine.execute("SELECT id FROM t WHERE id = 99999999999")) == []
+    assert rows(engine.execute("SELECT id FROM t WHERE id NOT IN (0, 1) ORDER BY id DESC LIMIT 2 OFFSET 1")) == [(3,), (2,)]
+    for bad in ("SELECT id FROM t WHERE d = 'soon'", "SELECT id FROM t WHERE id = 'x'"):
+        with pytest.raises(QuarryError):
+            engine.execute(bad)
+
+
+def test_text_index_follows_writes(engine):
+    engine.execute("CREATE TABLE t (id INT KEY, body VARCHAR(100))")
+    engine.execute("CREATE INVERTED INDEX i ON t (body)")
+    assert rows(engine.execute("SELECT id FROM t WHERE body CONTAINS 'fox'")) == []
+    engine.execute("INSERT INTO t VALUES (1, 'the red fox'), (2, 'red foxes, red!'), (3, null), (4, ' ')")
+    found = lambda q: rows(engine.execute(f"SELECT id FROM t WHERE body {q}"))
+    assert sorted(found("CONTAINS 'fox'")) == [(1,), (2,)] and found("RANKED BY 'red fox the' LIMIT 1") == [(1,)]
+    assert sorted(found("CONTAINS 'NOT fox'")) == [(3,), (4,)] and sorted(found("PHRASE 'red fox'")) == [(1,), (2,)]
+    engine.execute("DELETE FROM t WHERE id = 1")
+    engine.update("t", 3, {"body": "a green fox"})
+    assert sorted(found("CONTAINS 'fox'")) == [(2,), (3,)] and found("CONTAINS 'green AND fox'") == [(3,)]
+    again = Engine(engine.spark, engine.catalog.root)
+    assert rows(again.execute("SELECT id FROM t WHERE body CONTAINS 'red'")) == [(2,)]
+    assert {(r["column"], r["kind"]): r["figures"] for r in engine.stats("t").collect()}["body", "inverted"]["documents"] == 2
+    assert engine.text_search("t", "body", 2).count() == 1 and engine.text_range("t", "body", "a", "z").count() == 0
+
+
+def test_media_store(spark, tmp_path):
+    from quarry.operators import media
+
+    store = media.MediaStore(spark, f"file://{tmp_path}/store")
+    files = spark.createDataFrame([("a/x.txt", bytearray(b"one"), 3), ("b/y.txt", bytearray(b"one"), 3), ("c", bytearray(b"two"), 3)], "path string, content binary, length long")
+    names = {r["path"]: r["stored_name"] for r in store.put(files).collect()}
+    store.put(files)
+    assert names["a/x.txt"] == names["b/y.txt"] and store.read().count() == 2 and store.exists(names["c"])
+    assert store.remove(names["c"]) and not store.remove(names["c"]) and not store.exists(names["c"]) and store.exists(names["a/x.txt"])
+
+
+def test_extractors(tmp_path):
+    import io
+    import struct
+    import wave
+    import zlib
+
+    import numpy as np
+
+    from quarry.operators import media
+
+    with pytest.raises(QuarryError):
+        media.extractor("image", "cnn")
+    assert media.extractor("audio", "other") is media.mfcc
+    grey = (np.arange(64 * 48).reshape(48, 64) * 7 % 256).astype(np.uint8)
+    above, lines = np.zeros(64, int), b""
+    for y, row in enumerate(grey.astype(int)):  # every filter of PNG in turn
+        left, corner = np.concatenate([[0], row[:-1]]), np.concatenate([[0], above[:-1]])
+        p = left + above - corner
+        near = [abs(p - v) for v in (left, above, corner)]
+        paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], above, corner))
+        guess = (np.zeros(64, int), left, above, (left + above) // 2, paeth)[y % 5]
+        lines += bytes([y % 5]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+        above = row
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"    "
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 48, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (media.read_image(png) == grey).all()
+    sound = io.BytesIO()
+    with wave.open(sound, "wb") as f:
+        f.setnchannels(1), f.setsampwidth(2), f.setframerate(8000)
+        f.writeframes((np.sin(np.arange(8000) / 5) * 9000).astype("<i2").tobytes())
+    assert media.mfcc(sound.getvalue()).shape == (100, 20)
+    one = media.single_vector(sound.getvalue())
+    assert one.shape == (100, 20) and (one == one[0]).all() and set(media.speed(sound.getvalue())) == {"local", "single"}
+
+
+def test_load_media(engine, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name in ("b.PGM", "deep/a.pgm", "c.txt"):
+        (tmp_path / name).write_bytes(b"P5 16 16 255\n" + bytes(256))
+    engine.execute("CREATE TABLE g (id INT KEY, img IMAGE, note VARCHAR(5))")
+    engine.execute("INSERT INTO g VALUES (4, 'x', 'y')")
+    assert engine.load_media("g", f"file://{tmp_path}", ("pgm",)).message == "2 rows inserted"
+    assert [r["id"] for r in engine.table("g").orderBy("id").collect()] == [4, 5, 6]
+
+
+def test_shapes_agree_with_the_driver(spark):
+    from quarry.functions import wkt
+
+    shapes = ["POINT(1 2)", "POLYGON((0 0, 8 0, 8 8, 0 8, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))", "LINESTRING(0 0, 5 5, 9 0)", "MULTIPOINT(1 1, 7 7)", "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))", "point( -1e1 .5 )"]
+    df = spark.createDataFrame([(s,) for s in [*shapes, "nonsense", None]], "g string")
+    for at in ((3.0, 3.0), (1.0, 1.0), (-2.0, 9.0), (5.5, 5.2)):
+        got = {r["g"]: (r["d"], r["b"]) for r in df.select("g", wkt.distance_to(F.col("g"), *at).alias("d"), wkt.box_of(F.col("g")).alias("b")).collect()}
+        assert got[None] == got["nonsense"] == (None, None)
+        for s in shapes:
+            assert math.isclose(got[s][0], wkt.distance(s, *at), abs_tol=1e-12) and tuple(got[s][1]) == wkt.bounds(s)
+    assert wkt.bounds(wkt.from_mapping({"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 3]]]})) == (0, 0, 2, 3)
+
+
+def test_plans_of_points_have_no_python(spark):
+    from quarry.operators import spatial
+
+    df = spark.createDataFrame([(1, "POINT(1 2)")], "id int, at string")
+    plan = spatial.within(df, "at", (0.0, 0.0), 5.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_ranked_text(spark):
     docs = spark.createDataFrame([(1, "red red blue"), (2, "blue green"), (3, "green"), (4, " "), (5, None)], "id long, t string")
     got = text.ranked(docs, "id", "t", "red blue").select("id", "_score").collect()
@@ -120,6 +245,19 @@ def test_server(engine):
     server.server_close()
 
 
+def test_http(engine):
+    import urllib.request
+
+    from quarry.server import serve_http
+
+    server = serve_http(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/", data=b"CREATE TABLE h (id INT KEY)") as r:
+        assert json.loads(r.read()) == {"status": "ok", "message": "table h created"}
+    server.shutdown()
+    server.server_close()
+
+
 def test_standing_search(spark, tmp_path):
     from quarry.streaming import watch
 

@@ -48,3 +48,12 @@ def test_literals_keep_their_type():
 def test_errors(sql):
     with pytest.raises(QuarryError):
         parse(sql)
+
+
+def test_lists_order_and_rows():
+    s = parse("SELECT a FROM t WHERE a IN (1, 2) AND b NOT LIKE 'x%' AND c IS NOT NULL ORDER BY a DESC, b LIMIT 3 OFFSET 6")
+    assert s.order == (("a", True), ("b", False)) and (s.limit, s.offset) == (3, 6)
+    assert s.where.left.left == ast.IsIn("a", (1, 2)) and s.where.right == ast.Not(ast.IsNull("c"))
+    assert isinstance(parse("SELECT a FROM t WHERE g IN ((1, 2), 3)").where, ast.Within)
+    assert isinstance(parse("SELECT a FROM t WHERE g IN (POINT(1 2), 3)").where, ast.Within)
+    assert parse("INSERT INTO t VALUES (1, 'a'), (2, 'b')").rows == ((1, "a"), (2, "b"))
