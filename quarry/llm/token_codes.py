@@ -9,13 +9,15 @@ many steps as it has chunks, with no other token decoded: its place in the next
 level is the number of continuation bits before it.
 
 Texts are encoded where they lie; only the ids, two bytes each, are shuffled, by
-the shard that bounds over doc_id assign.  Encoding remembers pieces of text and
-their ids, in tables of bounded size, emptied when full.
+the shard that bounds over doc_id assign.  Encoding remembers a bounded number of
+short words.  The files aren't compressed and their segments are small, so that
+token() fetches one segment's columns and touches a few of their bytes.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import os
 import re
@@ -32,9 +34,7 @@ from quarry.llm.common import scratch_path, table
 
 END = 0
 _BLOCK = 512
-#: A new piece starts at a space before a visible character; the vocabulary's own pattern never joins across.
-_PIECE = re.compile(r" (?=\S)")
-SEGMENTS = "shard int, seg int, docs binary, lengths binary, n_tokens long, chunks array<binary>, more array<binary>, ranks array<binary>"
+SEGMENTS = "shard int, seg int, first_doc long, last_doc long, docs binary, lengths binary, n_tokens long, chunks array<binary>, more array<binary>, ranks array<binary>"
 
 
 def default_vocabulary() -> str:
@@ -43,98 +43,96 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The vocabulary's pattern for ASCII and for Latin-1 text without _ODD, of which the two libraries of patterns think differently.
+_ASCII = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+_LATIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\xb2\xb3\xb9\xbc\xbd\xbe"
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next from U+0100."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 16- or 32-bit integers, equal to the library's for the whole text."""
+    """Ids of whole texts as little-endian 16- or 32-bit integers, equal to the library's for the whole text.
 
-    def __init__(self, path: str, remember: int = 400_000):
+    Texts are cut into the words of the vocabulary's pattern, which its merges never
+    cross, and the library's model is asked for words that aren't remembered.  At most
+    ``remember`` words of at most ``longest`` characters are.
+    """
+
+    def __init__(self, path: str, remember: int = 500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.library, self.split = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # the same vocabulary for words that are already apart, many in one call
-        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "removed"), byte_level])
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.kind = id_kind(self.library.get_vocab_size())
+        size = int(self.kind[2])
+        self.blobs = [i.to_bytes(size, "little") for i in range(self.library.get_vocab_size())]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.half = remember // 2
-        self.pieces: dict[str, bytes] = {}
+        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.ascii_words, self.latin_words = re.compile(_ASCII).findall, re.compile(_LATIN).findall
+        self.characters = _byte_characters()
+        self.half, self.longest = remember // 2, longest
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _apart(self, words: list[str]) -> list[bytes]:
-        """Ids of words of the pattern."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            e = self.split.encode("\0".join(part), add_special_tokens=False)
-            ids, of = np.array(e.ids, self.kind), np.array(e.word_ids)
-            ends = np.searchsorted(of, np.arange(len(part)), side="right") * ids.itemsize
-            flat, begin = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(flat[begin:end])
-                begin = end
-        return out
-
-    def _cut(self, piece: str) -> tuple[str, ...] | list[str]:
-        """The pattern's words of a space and a piece; plain words, and those before a comma or stop, need no search."""
-        if piece.isascii():
-            if piece.isalpha():
-                return (" " + piece,)
-            if piece[-1] in ",." and piece[:-1].isalpha():
-                return " " + piece[:-1], piece[-1]
-        return self.words.findall(" " + piece)
-
-    def _learn(self, lost: set[str]) -> None:
-        """Enters the pieces, in the newer half again if they are in the older one."""
-        if len(self.pieces) > self.half:
-            self.pieces, self.older = {}, self.pieces
-        if len(self.parts) > self.half:
-            self.parts = {}
-        pieces, parts = self.pieces, self.parts
-        back = {p for p in lost if p in self.older}
-        for p in back:
-            pieces[p] = self.older[p]
-        cut = {p: self._cut(p) for p in lost - back}
-        new = [w for w in {w for words in cut.values() for w in words} if w not in parts and "\0" not in w]
-        parts.update(zip(new, self._apart(new), strict=True))
-        for p, words in cut.items():
-            if "\0" in p:
-                pieces[p] = self._whole(" " + p)
-            else:
-                pieces[p] = parts[words[0]] if len(words) == 1 else b"".join([parts[w] for w in words])
+
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            letters = word.encode().decode("latin-1").translate(self.characters)
+            tokens, blobs = self.model.tokenize(letters), self.blobs
+            ids = blobs[tokens[0].id] if len(tokens) == 1 else b"".join([blobs[t.id] for t in tokens])
+        if len(word) <= self.longest:
+            if len(self.known) >= self.half:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        out = list(map(self.pieces.get, rest))
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if (ascii_only := text.isascii()) or _is_latin(text):
+            split = self.words if any(c in text for c in _ODD) else self.ascii_words if ascii_only else self.latin_words
+        else:
+            split = self.words
+        words = split(text)
+        out = list(map(self.known.get, words))
         if None in out:
-            lost = {p for p, ids in zip(rest, out, strict=True) if ids is None}
-            if "" in lost or "".join([p[0] for p in lost]).translate(_VISIBLE):  # some space doesn't start a piece
-                first, *rest = _PIECE.split(text)
-                lost = {p for p in rest if p not in self.pieces}
-            self._learn(lost)
-            out = list(map(self.pieces.get, rest))
-            if None in out:  # the halves have changed meanwhile
-                out = [self.older[p] if ids is None else ids for p, ids in zip(rest, out, strict=True)]
-        return (self._whole(first) if first else b"") + b"".join(out)
+            at = -1
+            try:
+                while True:
+                    at = out.index(None, at + 1)
+                    w = words[at]
+                    out[at] = self.known.get(w) or self._word(w)
+            except ValueError:  # no other is missing
+                pass
+        return b"".join(out)
 
 
-class _Spaces(dict):
-    """For str.translate: keeps white space only, learning characters as they come."""
+def id_kind(vocabulary_size: int) -> str:
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
-    def __missing__(self, c: int) -> int | None:
-        self[c] = c if chr(c).isspace() else None
-        return self[c]
 
+@functools.lru_cache(4)
+def _kind_of(vocabulary: str) -> str:
+    from tokenizers import Tokenizer
 
-_VISIBLE = _Spaces()
+    return id_kind(Tokenizer.from_file(vocabulary).get_vocab_size())
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -195,12 +193,12 @@ def _segment(shard: int, seg: int, docs: list, blobs: list[bytes], kind: str) ->
     known = np.array([d is not None for d in docs])
     where = np.array([0 if d is None else d for d in docs], "<i8")
     return {
-        "shard": shard, "seg": seg, "docs": known.tobytes() + where.tobytes(), "lengths": np.array([len(b) // size for b in blobs], "<i8").tobytes(),
+        "shard": shard, "seg": seg, "first_doc": next((d for d in docs if d is not None), None), "last_doc": docs[-1], "docs": known.tobytes() + where.tobytes(), "lengths": np.array([len(b) // size for b in blobs], "<i8").tobytes(),
         "n_tokens": len(ids), "chunks": chunks, "more": more, "ranks": ranks,
     }
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shard_docs: int = 1024, max_shards: int = 20_000, segment_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shard_docs: int = 8192, max_shards: int = 20_000, segment_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every row's text and an end id, in ascending doc_id order, null ids first.
 
     Part k of the files holds shard k; there are at most max_shards, as their bounds are in the plan.  Null texts are empty.  Rows with one doc_id
@@ -209,6 +207,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shar
     segment_tokens.  An empty table writes no segment.
     """
     vocabulary = vocabulary or default_vocabulary()
+    kind = _kind_of(vocabulary)
     number = F.col(id_col).cast("long")
     rows = docs.count()
     shards = max(1, min(max_shards, math.ceil(rows / shard_docs)))
@@ -216,17 +215,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shar
     bounds = sorted(set(docs.select(F.percentile_approx(number, steps, 10 * shards)).first()[0] or [])) if steps else []
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        end = np.array([END], enc.kind).tobytes()
+        enc, end = encoder(vocabulary), np.array([END], kind).tobytes()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            out = [enc.encode(texts[i].as_py() or "") + end for i in range(b.num_rows)]
-            shard = [0 if d is None else bisect.bisect_left(bounds, d) for d in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "shard", "ids"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                out = [enc.encode(t.as_py() or "") + end for t in part.column(1)]
+                shard = [0 if d is None else bisect.bisect_left(bounds, d) for d in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shard, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "shard", "ids"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, shard, seg, names, blobs, held = encoder(vocabulary).kind, None, 0, [], [], 0
-        schema = pa.schema([("shard", pa.int32()), ("seg", pa.int32()), ("docs", pa.binary()), ("lengths", pa.binary()), ("n_tokens", pa.int64()), *((n, pa.list_(pa.binary())) for n in ("chunks", "more", "ranks"))])
+        shard, seg, names, blobs, held = None, 0, [], [], 0
+        schema = pa.schema([("shard", pa.int32()), ("seg", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("n_tokens", pa.int64()), *((n, pa.list_(pa.binary())) for n in ("chunks", "more", "ranks"))])
         for b in batches:
             for d, s, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if names and (s != shard or held >= segment_tokens):
@@ -241,13 +240,32 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shar
 
     given = docs.select(number.alias("doc_id"), F.col(text_col).alias("text"))
     dealt = given.mapInArrow(encoded, "doc_id long, shard int, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.mapInArrow(coded, SEGMENTS).write.parquet(path)
+    dealt.mapInArrow(coded, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_segments(spark, path: str) -> DataFrame:
     return spark.read.schema(SEGMENTS).parquet(path)
 
 
+def token(spark, path: str, doc_id: int, i: int) -> int:
+    """Token i (from 0; the last is the end id) of a document in files that write_tokens() made; IndexError if there is none.
+
+    Of documents that repeat the id, the first in the files counts.  The ids' bounds
+    lead to the segments that may hold it, and one chunk, one bitmap block and one
+    directory entry of each level give the token: none other is decoded.
+    """
+    some = read_segments(spark, path).filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).orderBy("shard", "seg")
+    for r in some.select("docs", "lengths", "chunks", "more", "ranks").toLocalIterator():
+        n = np.frombuffer(r["lengths"], "<i8")
+        known, docs = np.frombuffer(r["docs"][: len(n)], bool), np.frombuffer(r["docs"][len(n) :], "<i8")
+        at = np.nonzero(known & (docs == doc_id))[0]
+        if len(at):
+            if not 0 <= i < n[at[0]]:
+                break
+            return token_at(r["chunks"], r["more"], r["ranks"], int(n[: at[0]].sum()) + i)
+    raise IndexError(f"document {doc_id} has no token {i}")
+
+
 def read_documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in files that write_tokens() made."""
 
