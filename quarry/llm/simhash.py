@@ -4,15 +4,11 @@ A fingerprint has a bit for each position that more than half of a text's shingl
 hashes set.  To find all pairs within ``radius`` bits, fingerprints are cut into
 segments; the pigeonhole gives each segment a small radius such that every pair
 is that near in some segment.  Each fingerprint enumerates the Hamming ball of
-that radius around its segment's value (only the greater values, as the other
-side enumerates the rest), fetches the table's fingerprints of those values by an
-equi-join, and pairs whose complete distance is small enough are links.
-
-Copies collapse to one fingerprint before anything is looked up.  A bucket with
-more than ``heavy`` fingerprints, as large families of near copies make, is
-compared block by block with a union-find in the task, which sends back a
-spanning forest instead of pairs: no link between components is lost, memory is
-bounded by two blocks, and nothing of a group's square is shuffled.
+that radius around its segment's value, fetches the table's fingerprints of those
+values by an equi-join, and pairs whose complete distance is small enough are links.
+
+Copies collapse to one fingerprint before anything is looked up.  A crowded bucket,
+as large families of near copies make, is indexed again by its remaining bits.
 """
 
 from __future__ import annotations
@@ -21,14 +17,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from quarry.llm.common import materialize, table
+from quarry.llm.common import drop_scratch, materialize, table
 from quarry.llm.components import components
 
 SEED = 42
@@ -47,16 +41,6 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((digest(r, SEED) for r in runs), np.uint64, n)
 
 
-def _plane(hashes: np.ndarray, plane: int) -> np.ndarray:
-    """Hashes of another fingerprint; plane 0 has them as they are."""
-    if not plane:
-        return hashes
-    with np.errstate(over="ignore"):
-        x = (hashes ^ np.uint64(plane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(32))
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
@@ -66,26 +50,23 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fps, an array of ``planes`` fingerprints as signed longs; zero for texts without words."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and v, the fingerprint as a signed long; zero for texts without words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, out = b.column(1), []
-            for i in range(b.num_rows):  # one text at a time: memory is that of the longest
-                h = shingle_hashes(texts[i].as_py(), words)
-                out.append([fingerprint(_plane(h, p)) for p in range(planes)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "fps"])
+            out = [fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(1)]  # one text at a time: memory is that of the longest
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["doc_id", "v"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, "doc_id long, fps array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, "doc_id long, v long")
 
 
-def segments(radius: int, count: int) -> list[tuple[int, int, int]]:
+def segments(radius: int, count: int, bits: int = 64) -> list[tuple[int, int, int]]:
     """(lowest bit, width, radius) of each segment; two fingerprints within radius are that near in one of them."""
     q, rest = divmod(radius, count)
     out, at = [], 0
     for s in range(count):
-        width = 64 // count + (s < 64 % count)
+        width = bits // count + (s < bits % count)
         if (r := q if s <= rest else q - 1) >= 0:
             out.append((at, width, r))
         at += width
@@ -100,70 +81,56 @@ def _cut(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that join just those of fps which links of at most radius bits join."""
-    x, label = fps.view(np.uint64), np.arange(len(fps))
-    for i in range(len(x)):
-        near = label[np.bitwise_count(x ^ x[i]) <= radius]
-        if (low := near.min()) != near.max():
-            label[np.isin(label, near)] = low
-    return [(int(fps[i]), int(fps[k])) for i, k in enumerate(label) if i != k]
-
-
-def near_links(fps: DataFrame, radius: int = 3, count: int = 2, heavy: int = 64, block: int = 4096) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fps: fp long) that join the same ones as all pairs within radius bits do."""
-    own = probes = None
-    for s, (low, width, r) in enumerate(segments(radius, count)):
-        value, masks = _cut(F.col("fp"), low, width), F.array(*[F.lit(m).cast("long") for m in _ball(width, r)])
-        mine = fps.select("fp", F.lit(s).alias("seg"), value.alias("key"))
-        ball = F.filter(F.transform(masks, lambda m: m.bitwiseXOR(F.col("key"))), lambda k: k >= F.col("key"))
-        asks = mine.select("fp", "seg", F.col("key").alias("own"), F.explode_outer(ball).alias("key"))
-        own, probes = (mine, asks) if own is None else (own.unionByName(mine), probes.unionByName(asks))
-    big = materialize(own.groupBy("seg", "key").count().filter(F.col("count") > heavy), "heavy")
-    some = big.limit(1).count() > 0
-    light = probes.join(big.select("seg", "key"), ["seg", "key"], "left_anti") if some else probes
-    held = own.select(F.col("fp").alias("other"), "seg", "key")
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius) & ((F.col("own") != held["key"]) | (F.col("fp") < F.col("other")))
-    links = light.join(held, (light["seg"] == held["seg"]) & (light["key"] == held["key"]) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    if not some:
-        return links
-    here = materialize(probes.join(big.select("seg", "key"), ["seg", "key"], "left_semi").select("seg", "key", "fp"), "members")
-    sized = here.groupBy("seg", "key").count().select("seg", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = here.join(sized, ["seg", "key"]).select("seg", "key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("seg", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_forest(pdf["fp"].to_numpy(np.int64), radius), columns=["a", "b"], dtype=np.int64)
-
-    return links.unionByName(dealt.groupBy("seg", "key", "i", "j").applyInPandas(joined, "a long, b long"))
-
-
-def linked_classes(rows: DataFrame, radius: int, count: int, wide: int = 1 << 23) -> DataFrame:
-    """(v, comp) for each class v of equal fps in rows (doc_id, fps, v): comp is one of the classes that v reaches.
-
-    From ``wide`` fingerprints on, two segments replace more: the same links, with
-    larger balls but buckets that stay small.
+def _halves(rows: DataFrame, width: int, radius: int, probe: bool) -> DataFrame:
+    """rows (fp, path, rest: the width bits that path doesn't fix) by either half of rest: path goes on with its value, or with each of its ball."""
+    half, out = width // 2, None
+    for s, (low, _, r) in enumerate(segments(radius, 2, width)):
+        value, rest = _cut(F.col("rest"), low, half), _cut(F.col("rest"), half - low, half)
+        values = F.transform(F.array(*[F.lit(m).cast("long") for m in _ball(half, r if probe else 0)]), lambda m, v=value: m.bitwiseXOR(v))
+        mine = rows.select("fp", "path", rest.alias("rest"), F.explode(values).alias("value"))
+        mine = mine.select("fp", F.xxhash64("path", F.lit(s), "value").alias("path"), "rest")
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+def near_links(fps: DataFrame, radius: int = 3, heavy: int = 64) -> DataFrame:
+    """All pairs a < b of distinct fingerprints (fps: fp long) that differ in at most radius bits; some come more than once.
+
+    Two segments of 32 bits are indexed.  A bucket of more than ``heavy`` fingerprints is
+    indexed again by the two halves of its remaining bits, and so on until these are
+    eight, when a bucket has at most 256: rows grow with the fingerprints, never with
+    the square of a bucket.
     """
-    classes = materialize(rows.groupBy("v").agg(F.first("fps").alias("fps")), "classes")
-    planes = classes.select(F.max(F.size("fps"))).first()[0] or 0
-    edges = None
-    for p in range(planes):
-        at = classes.select("v", F.col("fps")[p].alias("fp"))
-        hubs = materialize(at.groupBy("fp").agg(F.min("v").alias("v")), "hubs")
-        links = near_links(hubs.select("fp"), radius, count if hubs.count() < wide else min(count, 2))
-        ends = links.join(hubs.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
-        mine = ends.select(F.col("va").alias("a"), F.col("vb").alias("b"))
-        if planes > 1:
-            mine = mine.unionByName(at.join(hubs.withColumnRenamed("v", "h"), "fp").select(F.col("v").alias("a"), F.col("h").alias("b")))
-        edges = mine if edges is None else edges.unionByName(mine)
-    if edges is None:
-        return classes.select("v", F.col("v").alias("comp"))
-    found = components(edges)
-    return classes.select("v").join(found.withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("label", "v").alias("comp"))
-
-
-def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    own = probes = fps.select("fp", F.lit(0).cast("long").alias("path"), F.col("fp").alias("rest"))
+    links, width = None, 64
+    while True:
+        own, probes = _halves(own, width, radius, False), _halves(probes, width, radius, True)
+        width //= 2
+        big = None
+        if width > 8:
+            big = materialize(own.groupBy("path").count().filter(F.col("count") > heavy).select("path"), "heavy")
+            if not big.limit(1).count():
+                drop_scratch(big)
+                big = None
+        light = probes if big is None else probes.join(big, "path", "left_anti")
+        held = own.select("path", F.col("fp").alias("other"))
+        near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+        mine = light.join(held, "path").filter(near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+        links = mine if links is None else links.unionByName(mine)
+        if big is None:
+            return links
+        own = materialize(own.join(big, "path", "left_semi"), "own")
+        probes = materialize(probes.join(big, "path", "left_semi"), "probes")
+
+
+def linked_classes(rows: DataFrame, radius: int) -> DataFrame:
+    """(v, comp) for each fingerprint v of rows (v long): comp is one of those that links of at most radius bits reach."""
+    classes = materialize(rows.select("v").distinct(), "classes")
+    found = components(near_links(classes.select(F.col("v").alias("fp")), radius))
+    return classes.join(found.withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("label", "v").alias("comp"))
+
+
+def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
     component_id is the smallest doc_id that links of at most radius bits reach,
@@ -172,8 +139,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, count:
     rows get equal results; an empty table gives an empty result; no other columns
     are read.
     """
-    rows = materialize(fingerprints(docs, words, 1, id_col, text_col).select("doc_id", "fps", F.col("fps")[0].alias("v")), "fingerprints")
-    comp = materialize(linked_classes(rows, radius, count), "components")
+    rows = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    comp = materialize(linked_classes(rows, radius), "components")
     least = rows.groupBy("v").agg(F.min("doc_id").alias("least")).join(comp, "v")
     smallest = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = comp.join(smallest, "comp").select("v", "component_id")
@@ -181,152 +148,5 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, count:
     return rows.select("doc_id", "v").join(by_class, "v").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def _marks(words: int, similarity: float, common: np.ndarray):
-    """doc_id, same (a hash of the set), n and the prefix of each text's set of shingles.
-
-    Sets that are ``similarity`` alike share an element of their prefixes, whatever the
-    order of elements is, as long as all have the same one: common shingles come last,
-    others by hash.
-    """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts, same, sizes, marks = b.column(0), b.column(1), [], [], []
-            for i in range(b.num_rows):
-                h = np.unique(shingle_hashes(texts[i].as_py(), words))
-                at = np.searchsorted(common, h)
-                late = (common[np.minimum(at, len(common) - 1)] == h) if len(common) else np.zeros(len(h), bool)
-                keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
-                same.append(_set_hash(h))
-                sizes.append(len(h))
-                marks.append(np.concatenate([h[~late], h[late]])[:keep].view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "same", "n", "marks"])
-
-    return made
-
-
-def _set_hash(h: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED)).view(np.int64))
-
-
-def _shingle_sets(words: int):
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["same", "shingles"])
-
-    return made
-
-
-@F.pandas_udf(DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> float:
-        p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return both / (len(p) + len(q) - both) if len(p) + len(q) else 1.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def _common(docs: DataFrame, words: int, sample_docs: int = 20_000, most: int = 100_000) -> np.ndarray:
-    """Shingles that come often in a sample: they only order the prefixes, so what it misses costs time, not pairs."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["h"])
-
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    often = some.mapInArrow(made, "h long").groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(most)
-    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
-
-
-def _settle(edges: DataFrame, gather: int = 1_000_000) -> DataFrame:
-    """(same, keep) of each class that goes, by the edges (a, b) between similar classes (structs of first and same), a before b.
-
-    In order, a class stays unless one that stays is similar to it.  Rounds take all
-    that nothing earlier can remove, until few enough edges are left for one pass.
-    """
-    spark, gone = edges.sparkSession, None
-    while edges.count() > gather:
-        starts = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
-        now = materialize(edges.join(starts, "a", "left_semi").groupBy("b").agg(F.min("a").alias("a")), "settled")
-        gone = now if gone is None else gone.unionByName(now)
-        out = now.select("b")
-        edges = materialize(edges.join(starts, "a", "left_anti").join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti"), "edges")
-    verdict: dict = {}
-    for a, b in sorted((tuple(r["a"]), tuple(r["b"])) for r in edges.collect()):  # at most ``gather``
-        if a not in verdict:
-            verdict.setdefault(b, a)
-    last = spark.createDataFrame([(b[1], a[0]) for b, a in verdict.items()], "same long, keep long")
-    return last if gone is None else last.unionByName(gone.select(F.col("b.same").alias("same"), F.col("a.first").alias("keep")))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_pairs: int = 2_000_000, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and keep_id of each document that repeats another: those that near-dedup drops.
-
-    By rising id, a document stays unless its set of shingles is at least ``similarity``
-    like (Jaccard) that of one that stays, so none goes that is not that similar to one
-    that stays, and no two that stay are.  All such pairs are found: they share a
-    shingle of their prefixes (see _marks), by which classes of equal sets are joined,
-    and candidates' whole sets are compared.  While that joins more than ``most_pairs``
-    pairs, as large groups of near copies do, a round compares each class only with the
-    first one of each of its shingles; a class that is first for all of its own stays,
-    and those like it go.  Rows with a null id stay and nothing goes for them; rows that
-    repeat the id of a document that stays, stay.
-    """
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = _marks(words, similarity, _common(known, words))
-    rows = materialize(known.mapInArrow(made, "doc_id long, same long, n int, marks array<long>"), "marks")
-    classes = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("marks").alias("marks"))
-    at = classes.select(F.struct("first", "same").alias("c"), "n", F.explode("marks").alias("h"))
-    met = lambda r: r.join(r.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi")
-    open_ = materialize(met(at), "open")
-    asked = materialize(open_.select(F.col("c.first").alias("first"), F.col("c.same").alias("_s")).distinct(), "asked")
-    texts = known.join(asked.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_shingle_sets(words), "same long, shingles binary")
-    sets = materialize(sets.join(asked.select(F.col("_s").alias("same")), "same", "left_semi").dropDuplicates(["same"]), "sets")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) whose sets are."""
-        one, two = sets.select(F.col("same").alias("_a"), F.col("shingles").alias("x")), sets.select(F.col("same").alias("_b"), F.col("shingles").alias("y"))
-        both = pairs.join(one, F.col("a.same") == F.col("_a")).join(two, F.col("b.same") == F.col("_b"))
-        return both.filter(jaccard("x", "y") >= similarity).select("a", "b")
-
-    near = lambda p, q: F.least(p, q) >= similarity * F.greatest(p, q) - 1e-9
-    gone = None
-    for _ in range(rounds):
-        sizes = open_.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-        if (sizes.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0) <= most_pairs:
-            break
-        lead = open_.groupBy("h").agg(F.min(F.struct("c", "n")).alias("l"))
-        seen = open_.join(lead, "h").groupBy("c", "n", F.col("l.c").alias("a"), F.col("l.n").alias("m")).agg(F.lit(1).alias("one"))
-        seen = materialize(seen.select("c", "n", "a", "m"), "seen")
-        stay = materialize(seen.groupBy("c").agg(F.min(F.col("a")).alias("a")).filter("a = c").select("c"), "stay")
-        pairs = seen.filter((F.col("a") != F.col("c")) & near(F.col("n"), F.col("m"))).select("a", F.col("c").alias("b")).join(stay.select(F.col("c").alias("a")), "a", "left_semi")
-        now = materialize(alike(pairs).groupBy("b").agg(F.min("a").alias("a")), "gone")
-        verdicts = now.select(F.col("b.same").alias("same"), F.col("a.first").alias("keep"))
-        gone = verdicts if gone is None else gone.unionByName(verdicts)
-        done = stay.unionByName(now.select(F.col("b").alias("c")))
-        open_ = materialize(met(open_.join(done, "c", "left_anti")), "open")
-    left, right = open_.select("h", F.col("c").alias("a"), F.col("n").alias("m")), open_.select("h", F.col("c").alias("b"), "n")
-    pairs = left.join(right, "h").filter((F.col("a") < F.col("b")) & near(F.col("n"), F.col("m"))).select("a", "b").distinct()
-    verdicts = _settle(materialize(alike(pairs), "edges"))
-    gone = verdicts if gone is None else gone.unionByName(verdicts)
-    whole = rows.groupBy("same").agg(F.min("doc_id").alias("first"))
-    keeps = whole.join(gone, "same", "left").select("same", F.coalesce("keep", "first").alias("keep_id"))
-    # a class of its own goes with its first document; the rest of one that stays are copies
-    kept = materialize(rows.select("doc_id", "same").join(keeps, "same").select("doc_id", "keep_id"), "kept")
-    leaders = kept.filter("doc_id = keep_id").select("doc_id").distinct()
-    return kept.filter("doc_id <> keep_id").join(leaders, "doc_id", "left_anti").distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, all columns, without the documents that near_duplicates() names."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-
-
 def op6_simhash_multi_index(spark, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
