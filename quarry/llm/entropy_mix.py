@@ -19,12 +19,12 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, materialize, table
 
-_OUT = "doc_id long, size long, source_size long, target double, taken long, copies int, rate double, source string"
+_OUT = "doc_id long, size long, source_size long, target double, taken long, copies int, rate double, source string, text_hash long"
 
 
 def water_fill(sizes: list[int], weights: tuple[float, ...], share: float, cap: float) -> list[float]:
@@ -73,12 +73,13 @@ def solve_dual(cells: DataFrame, targets: dict[int, tuple[float, int]], cap: flo
             if not low < step < high:
                 step = (low + high) / 2 if math.isfinite(low + high) else (lam * 2 + 0.25 if taken < target else lam * 2 - 0.25)
             state[s] = [step, low, high]
-    return found | {s: x[0] for s, x in state.items()}
+    # the last bits follow the order in which tasks ended
+    return {s: float(f"{x:.11g}") for s, x in (found | {s: x[0] for s, x in state.items()}).items()}
 
 
 def round_copies(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies for a block of one source: the running error of taken tokens stays as small as it can."""
-    tie = [xxhash.xxh64_intdigest(str(x), 7) for x in pdf["doc_id"]]
+    tie = [xxhash.xxh64_intdigest(f"{x} {h}", 7) for x, h in zip(pdf["doc_id"], pdf["text_hash"], strict=True)]
     order = np.lexsort((np.array(tie, dtype=np.uint64), -pdf["size"].to_numpy()))
     copies, carry = np.zeros(len(pdf), np.int32), 0.0
     for i, size, rate in zip(order, pdf["size"].to_numpy()[order].tolist(), pdf["rate"].to_numpy()[order].tolist(), strict=True):
@@ -93,7 +94,7 @@ def round_copies(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_rows: int = 1024, max_sources: int = 200_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, rate, source of every row; reruns agree.
+    """doc_id, size, source_size, target, taken, copies, rate, source, text_hash of every row; reruns agree.
 
     size counts words (null text: 0; such documents are kept once and take no
     words).  Sources weigh by code point, null last and a source of its own.  Rows
@@ -104,7 +105,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     spark = docs.sparkSession
     rows = materialize(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"),
     ), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(max_sources + 1).collect()
     if len(sources) > max_sources:
@@ -123,18 +124,29 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     tilts = spark.createDataFrame([(i, lam.get(i, 0.0)) for i in range(len(sources))], "sid int, lam double")
     rate = F.when(F.col("lam") == math.inf, cap).when(F.col("lam") == -math.inf, 0.0).otherwise(
         F.least(F.lit(cap), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0)))))
-    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")).cast("int")
-    dealt = known.join(F.broadcast(tilts), "sid").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "source", "sid", block.alias("block"))
+    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", "size", "text_hash"), F.col("blocks")).cast("int")
+    dealt = known.join(F.broadcast(tilts), "sid").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "source", "text_hash", "sid", block.alias("block"))
     return dealt.groupBy("sid", "block").applyInPandas(round_copies, _OUT)
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it; rows that share an id share its copies equally, rounded down."""
-    mix = entropy_mix(docs, id_col=id_col, **how).groupBy("doc_id").agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies"))
-    mix = materialize(mix.filter("_copies > 0").withColumnRenamed("doc_id", "_mixed"), "mix")
-    taken = docs.join(mix, F.col(id_col).cast("long").eqNullSafe(F.col("_mixed")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Rows of one id, text and source (null ids and texts included) share their copies as
+    equally as whole ones can be; none is lost.  An empty table stays empty.
+    """
+    mix = entropy_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    d, t, s, every, rows, copies = (next(n for k in range(1 << 30) if (n := f"{name}{k or ''}") not in docs.columns) for name in ("_mix_id", "_mix_text", "_mix_source", "_mix_all", "_mix_rows", "_mix_copies"))
+    mix = mix.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias(every), F.count(F.lit(1)).alias(rows)).filter(F.col(every) > 0)
+    mix = materialize(mix.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.col("source").alias(s), every, rows), "mix")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text_col)) == F.col(t)) & F.col(source_col).cast("string").eqNullSafe(F.col(s))
+    taken = docs.join(mix, same)
+    once = taken.filter(F.col(rows) == 1).withColumn(copies, F.col(every))
+    place = Window.partitionBy(d, t, s).orderBy(F.lit(0))  # only rows that are the same in all three
+    again = taken.filter(F.col(rows) > 1).withColumn(copies, F.floor(F.col(every) / F.col(rows)) + (F.row_number().over(place) <= F.col(every) % F.col(rows)).cast("long"))
+    out = once.unionByName(again).filter(F.col(copies) > 0)
+    return out.withColumn(d, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_entropy_mix(spark, sf_dir: str) -> DataFrame:
-    return entropy_mix(table(spark, sf_dir, "documents"))
+    return entropy_mix(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from quarry.llm.entropy_mix import entropy_mix, take_mix, water_fill
 from quarry.llm.gru import Gru, document_scores
 from quarry.llm.recurrent_lm import score_documents, tokens_of
-from quarry.llm.token_codes import Encoder, all_tokens, default_vocabulary, read_documents, read_segments, to_levels, token_at, write_tokens
+from quarry.llm.token_codes import Encoder, all_tokens, default_vocabulary, read_documents, read_segments, to_levels, token, token_at, write_tokens
 
 
 def test_water_fill():
@@ -42,12 +42,70 @@ def test_mix(odd, empty, plain_rows):
 SAMPLES = ["", "a", " a", "a ", "a  b", "a\n b", "a \n b  \n\nc\t d 's it's 're", "x <|endoftext|> y", "a \x1c b ​ c ² ½ Ⅷ a_b", "   ", "a \u0085b 12 345abc !?? ...\r\n q", "a\0b c\0 \0d  e", "x 　y 字 😀."]
 
 
+def test_mix_against_a_plain_solution(spark):
+    """Rates by bisection of each source's sum, and whole copies next to them, for a hot source, ties, repeated rows and one very long text."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{int(s)}") for i, (n, s) in enumerate(zip(rng.integers(1, 400, 900), np.minimum(rng.integers(0, 9, 900), 3)))]
+    rows += [(5000 + i, "w " * 50, "s1") for i in range(40)] + [(7, "tie " * 9, "s2")] * 5 + [(9000, "w " * 60_000, "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = entropy_mix(docs).toPandas()
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in sorted({r[2] for r in rows})}
+    want = dict(zip(sizes, _targets(list(sizes.values()))))
+    for s, mine in got.groupby("source"):
+        n, mean = mine["size"].to_numpy(float), mine["size"].sum() / len(mine)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (n * np.minimum(2, np.exp(np.minimum(mid * n / mean, 700)))).sum() < want[s] else (low, mid)
+        full = want[s] >= 2 * sizes[s] * (1 - 1e-9)
+        assert np.allclose(mine["rate"], 2.0 if full else np.minimum(2, np.exp(np.minimum(low * n / mean, 700))), rtol=1e-5)
+        assert math.isclose(mine["target"].iloc[0], want[s], rel_tol=1e-9) and (mine["source_size"] == sizes[s]).all()
+        assert ((mine["copies"] >= np.floor(mine["rate"])) & (mine["copies"] <= np.ceil(mine["rate"]))).all()
+        assert abs(mine["taken"].sum() - want[s]) <= 60_000 * (s == "s0") + 0.01 * want[s]
+    assert Counter(map(tuple, entropy_mix(docs.repartition(2)).collect())) == Counter(map(tuple, entropy_mix(docs).collect()))
+
+
+def _targets(sizes):
+    """Shares by weight 3, 1, 2, again and again; what is above twice a size goes to the others."""
+    weights, full = [(3, 1, 2)[i % 3] for i in range(len(sizes))], set()
+    while True:
+        left = 1.5 * sum(sizes) - sum(2 * sizes[i] for i in full)
+        total = sum(w for i, w in enumerate(weights) if i not in full)
+        part = [2 * n if i in full else left * weights[i] / total for i, n in enumerate(sizes)]
+        more = {i for i, n in enumerate(sizes) if i not in full and part[i] > 2 * n}
+        if not more:
+            return part
+        full |= max([{i} for i in more], key=lambda x: part[min(x)] / sizes[min(x)])
+
+
+def test_repeated_and_null_ids_lose_no_copies(spark):
+    rows = [(None, f"a text of {i % 3} words", "s", i) for i in range(300)] + [(1, "the same id", "s", i) for i in range(50)] + [(2, "b " * i, "t", i) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long")
+    want = Counter()
+    for r in entropy_mix(docs).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    got = Counter()
+    for r in take_mix(docs).collect():
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+    assert got == want and take_mix(docs).columns == docs.columns
+
+
 def test_encoder_equals_the_library():
     enc = Encoder(default_vocabulary(), remember=8)
     for s in SAMPLES * 2:
         assert np.frombuffer(enc.encode(s), enc.kind).tolist() == enc.library.encode(s, add_special_tokens=False).ids
 
 
+def test_encoder_on_characters_of_all_kinds():
+    rng = np.random.default_rng(2)
+    kinds = [range(0, 128), range(0, 256), range(32, 1000), [*range(0x2000, 0x2070), 97, 32, 49], [*range(0x1F600, 0x1F610), 32, 0x3000, 0x661, 97]]
+    enc = Encoder(default_vocabulary(), remember=50)
+    for kind in kinds:
+        for _ in range(60):
+            text = "".join(chr(int(c)) for c in rng.choice(list(kind), 40))
+            assert np.frombuffer(enc.encode(text), enc.kind).tolist() == enc.library.encode(text, add_special_tokens=False).ids
+
+
 def test_codes_give_every_token():
     ids = np.random.default_rng(1).integers(0, 1 << 20, 3000)
     chunks, more, ranks = to_levels(ids)
@@ -72,6 +130,11 @@ def test_token_files(spark, odd, empty, plain_rows, tmp_path):
     assert sum(p["n_tokens"] for p in parts) == at and len(parts) > 5
     p = parts[-1]
     assert [token_at(p["chunks"], p["more"], p["ranks"], i) for i in range(p["n_tokens"])] == all_tokens(p["chunks"], p["more"]).tolist()
+    for r in rows[:3] + rows[-3:]:
+        if r[0] is not None and r[0] != 108:
+            assert [token(spark, f"file://{tmp_path}/t", r[0], i) for i in {0, len(ids[id(r)]) // 2, len(ids[id(r)]) - 1}] == [ids[id(r)][i] for i in {0, len(ids[id(r)]) // 2, len(ids[id(r)]) - 1}]
+    with pytest.raises(IndexError):
+        token(spark, f"file://{tmp_path}/t", 3, 10**6)
     write_tokens(empty, f"file://{tmp_path}/e")
     assert read_documents(spark, f"file://{tmp_path}/e").count() == 0
 
