@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, table
+from quarry.llm.common import drop_scratch, materialize, release, table
 from quarry.llm.suffix_array import prefix_classes, suffix_array
 
 _PIECE = 1 << 18
@@ -84,7 +84,7 @@ def _least_documents(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     least = np.full(len(s) + 1, _LAST)
     np.minimum.at(least, classes[where], np.repeat(pdf["least"].to_numpy(np.int64), size))
     found = np.split(least[classes[where]], np.cumsum(size)[:-1])
-    return pd.DataFrame({"h": pdf["h"], "cid": pdf["cid"], "found": [f[:1].tolist() if (f == f[0]).all() else f.tolist() for f in found]})
+    return pd.DataFrame({"h": pdf["h"], "cid": pdf["cid"], "cid2": pdf["cid2"], "found": [f[:1].tolist() if (f == f[0]).all() else f.tolist() for f in found]})
 
 
 def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes: int) -> DataFrame:
@@ -101,6 +101,7 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes:
     seen = docs.mapInArrow(hashes, "h long, d long, row long").select("h", "d", "row", F.min("d").over(of).alias("lo"), F.max("d").over(of).alias("hi"))
     several = seen.filter("lo < hi").groupBy("d", "row").agg(F.collect_set("h").alias("hs"))
     several = materialize(several.select(F.col("d").alias("_d"), F.col("row").alias("_row"), "hs"), "anchors")
+    release(docs.sparkSession)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,27 +115,33 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes:
 
     mine = (F.col("d") == F.col("_d")) & (F.col("row") == F.col("_row"))
     shown = docs.join(several, mine).select("d", "row", "text", "hs").mapInArrow(contexts, "h long, context binary, d long, row long, at long")
-    # a context goes by its anchor's hash and its own: 128 bits
-    places = materialize(shown.withColumn("cid", F.xxhash64("context")).withColumn("size", F.length("context").cast("long")), "places")
-    one = places.groupBy("h", "cid").agg(F.min("d").alias("least"), F.first("context").alias("context"))
+    # a context goes by its anchor's hash and two of its own: 192 bits
+    named = shown.withColumn("cid", F.xxhash64("context")).withColumn("cid2", F.xxhash64(F.lit(1), "context"))
+    places = materialize(named.withColumn("size", F.length("context").cast("long")), "places")
+    drop_scratch(several)
+    release(docs.sparkSession)
+    one = places.groupBy("h", "cid", "cid2").agg(F.min("d").alias("least"), F.first("context").alias("context"))
     one = materialize(one, "contexts")
+    release(docs.sparkSession)
     crowds = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("context") + 1).alias("bytes"))
     crowds = materialize(crowds.filter("n > 1"), "crowds")
-    alike = one.join(crowds, "h").select("h", "cid", "context", "least", "n")
+    alike = one.join(crowds, "h").select("h", "cid", "cid2", "context", "least", "n")
     cold = alike.filter(F.col("n") <= hot)
     total = crowds.filter(F.col("n") <= hot).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     tasks = max(1, math.ceil(total / task_bytes))
-    kind = "h long, cid long, found array<long>"
+    kind = "h long, cid long, cid2 long, found array<long>"
     least = cold.withColumn("task", F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int")).groupBy("task").applyInPandas(lambda pdf: _least_documents(pdf, length), kind)
     if crowds.filter(F.col("n") > hot).limit(1).count():
         crowd = alike.filter(F.col("n") > hot)
-        windows = crowd.select("h", "cid", "context", "least", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
-        windows = windows.select("h", "cid", "least", "pos", F.substring("context", F.col("s"), F.lit(length)).alias("window"))
+        windows = crowd.select("h", "cid", "cid2", "context", "least", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
+        windows = windows.select("h", "cid", "cid2", "least", "pos", F.substring("context", F.col("s"), F.lit(length)).alias("window"))
         each = windows.groupBy("window").agg(F.min("least").alias("w_least"))
-        by_context = windows.join(each, "window").groupBy("h", "cid").agg(F.sort_array(F.collect_list(F.struct("pos", "w_least"))).alias("l"))
-        least = least.unionByName(by_context.select("h", "cid", F.col("l.w_least").alias("found")))
-    single = one.join(crowds.select("h"), "h", "left_anti").select("h", "cid", F.array("least").alias("found"))
-    found = least.unionByName(single)
+        by_context = windows.join(each, "window").groupBy("h", "cid", "cid2").agg(F.sort_array(F.collect_list(F.struct("pos", "w_least"))).alias("l"))
+        least = least.unionByName(by_context.select("h", "cid", "cid2", F.col("l.w_least").alias("found")))
+    single = one.join(crowds.select("h"), "h", "left_anti").select("h", "cid", "cid2", F.array("least").alias("found"))
+    found = materialize(least.unionByName(single), "found")
+    drop_scratch(one, crowds)
+    release(docs.sparkSession)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +156,7 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes:
             cols = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "row", "start", "end"])
 
-    joined = places.select("h", "cid", "d", "row", "at", "size").join(found, ["h", "cid"]).select("d", "row", "at", "size", "found")
+    joined = places.select("h", "cid", "cid2", "d", "row", "at", "size").join(found, ["h", "cid", "cid2"]).select("d", "row", "at", "size", "found")
     spans = joined.mapInArrow(ranges, "d long, row long, start long, end long")
     return spans.groupBy("d", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
@@ -167,6 +174,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20
     given = docs.select(d, F.xxhash64(text).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     gone = repeated_ranges(given.select("d", "row", "text"), length, k, hot, task_bytes)
     gone = materialize(gone.select(F.col("d").alias("_d"), F.col("row").alias("_row"), "ranges"), "ranges")
+    release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
