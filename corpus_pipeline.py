@@ -12,7 +12,7 @@ from quarry.llm.common import materialize, scratch_path, table
 from quarry.llm.decontam import drop_contaminated
 from quarry.llm.entropy_mix import take_mix
 from quarry.llm.language_id import keep_identified
-from quarry.llm.simhash import drop_near_duplicates
+from quarry.llm.near_dups import drop_near_duplicates
 from quarry.llm.token_codes import read_documents, write_tokens
 
 
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles."""
+    """The first document of each group that links of 0.8 or more (Jaccard, five-word shingles) join."""
     return drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
@@ -45,7 +45,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing to target weights", mixing),
     ("token ids", token_ids),
