@@ -25,8 +25,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Public suffixes of two labels that count as one.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "org.uk")
+#: Public suffixes of more than one label; ``*.`` stands for any label, ``!`` marks an exception to such a rule.
+SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "org.uk")
 #: Bounds of a level's overdispersion: prior strengths from 999 down to 1.
 RHO_LOW, RHO_HIGH = 0.001, 0.5
 
@@ -48,11 +48,34 @@ def rule_column(host: Column, path: Column, rules, pick) -> Column:
     return out
 
 
-def _parents(hosts: DataFrame) -> DataFrame:
-    labels = F.split("host", r"\.")
-    tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (n - 1)), n), ".")
-    two = tail(2).isin(*TWO_LABEL_SUFFIXES)
-    return hosts.withColumns({"suffix": F.when(two, tail(2)).otherwise(tail(1)), "domain": F.when(two, tail(3)).otherwise(tail(2))})
+def _tail(host: Column, n: int | Column) -> Column:
+    """The last n labels of a host, or all of them."""
+    labels, n = F.split(host, r"\."), F.lit(n)
+    return F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
+
+
+def suffix_labels(host: Column, suffixes) -> Column:
+    """How many labels the public suffix of a host has: those of the longest rule that fits, one less for an exception; one without a rule."""
+    rules = [r.lower().strip(".") for r in suffixes]
+    plain = [r for r in rules if r[:1] not in "*!"]
+    wild, but = [r[2:] for r in rules if r.startswith("*.")], [r[1:] for r in rules if r.startswith("!")]
+    size = F.size(F.split(host, r"\."))
+    out = F.lit(1)
+    for n in range(1, max((r.count(".") + 1 for r in rules), default=1) + 1):  # longer ones come last and count
+        fits = F.lit(False)
+        if mine := [r for r in plain if r.count(".") + 1 == n]:
+            fits = fits | _tail(host, n).isin(*mine)
+        if mine := [r for r in wild if r.count(".") + 2 == n]:
+            fits = fits | _tail(host, n - 1).isin(*mine)
+        out = F.when((size >= n) & fits, n).otherwise(out)
+    for n in sorted({r.count(".") + 1 for r in but}):
+        out = F.when((size >= n) & _tail(host, n).isin(*[r for r in but if r.count(".") + 1 == n]), n - 1).otherwise(out)
+    return out
+
+
+def _parents(hosts: DataFrame, suffixes) -> DataFrame:
+    n = suffix_labels(F.col("host"), suffixes)
+    return hosts.withColumns({"suffix": _tail(F.col("host"), n), "domain": _tail(F.col("host"), n + 1)})
 
 
 def _strength(level: DataFrame) -> float:
@@ -67,9 +90,9 @@ def _shrunk(level: DataFrame, strength: float) -> DataFrame:
     return level.withColumn("mean", (F.col("k") + strength * F.col("m")) / (F.col("n") + strength))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = 1.645, suffixes=SUFFIXES) -> DataFrame:
     """host, n, k, mean and bound for every host in outcomes (host, bad: 0, 1 or null for an unlabelled page)."""
-    hosts = materialize(_parents(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))), "hosts")
+    hosts = materialize(_parents(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")), suffixes), "hosts")
     total, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("m", F.lit((bad + 1) / (total + 2)))
@@ -83,18 +106,19 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
         "host", "n", "k", "mean", (mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + strength + 1))).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.3, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.3, z: float = 1.645, suffixes=SUFFIXES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate, bound of every row of pages.
 
     outcomes: (host, bad) of labelled pages; repeats count.  Null urls and urls
     without ``://`` have an empty host and path and the reputation of the empty
-    host.  A host without outcomes inherits its domain's rate.  Repeated rows are
+    host.  A host without outcomes inherits its domain's rate; suffixes are a list of
+    rules of public suffixes, a short one compiled into the plan.  Repeated rows are
     judged alike; an empty table gives an empty result; no other columns are read.
     """
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     unseen = parts.select("host", F.lit(None).cast("int").alias("bad"))
-    known = reputation(outcomes.select("host", F.col("bad").cast("int").alias("bad")).unionByName(unseen), z)
+    known = reputation(outcomes.select("host", F.col("bad").cast("int").alias("bad")).unionByName(unseen), z, suffixes)
     h, p = F.col("host"), F.col("path")
     ruled = parts.withColumns({"rule": rule_column(h, p, rules, lambda v, r: r), "_v": rule_column(h, p, rules, lambda v, r: v)})
     judged = F.when(F.col("bound") > max_bad, "block").otherwise("allow")
@@ -102,7 +126,11 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: floa
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, bad) of pages whose document is labelled: the last number of a path names the document."""
+    """(host, bad) of pages whose document is labelled: the last number of a path names the document.
+
+    A label without a quality and a toxicity, and null or other urls, give no outcome; a
+    document with several labels is bad if one is; empty tables give an empty result.
+    """
     host, path = url_parts(F.col("url"))
     shown = pages.select(host.alias("host"), F.regexp_extract(path, r"/(\d{1,18})(?:\.html)?/?$", 1).alias("d"))
     shown = shown.filter("d <> ''").select("host", F.col("d").cast("long").alias("doc_id"))
@@ -124,7 +152,8 @@ l AS (SELECT doc_id, max(greatest(CASE WHEN quality = 0 THEN 1 WHEN quality IS N
 o AS (SELECT host, TRY_CAST(NULLIF(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1), '') AS BIGINT) AS doc_id FROM p),
 b AS (SELECT host, bad FROM o JOIN l USING (doc_id) WHERE bad IS NOT NULL UNION ALL SELECT host, NULL FROM p),
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, string_split(host, '.') AS s FROM b GROUP BY host),
-h AS (SELECT host, n, k, array_to_string(s[-1:], '.') AS suffix, array_to_string(s[-2:], '.') AS domain FROM h0),
+h1l AS (SELECT host, n, k, s, CASE WHEN array_to_string(s[-2:], '.') IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'org.uk') THEN 2 ELSE 1 END AS w FROM h0),
+h AS (SELECT host, n, k, array_to_string(s[-w:], '.') AS suffix, array_to_string(s[-w - 1:], '.') AS domain FROM h1l),
 t AS (SELECT (sum(k) + 1) / (sum(n) + 2.0) AS m FROM h),
 s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, t GROUP BY 1),
 sr AS (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum((n - 1) * n * m * (1 - m)), 0), 0.001))) - 1 AS g FROM s1 WHERE n > 0),
