@@ -86,9 +86,9 @@ def _halves(rows: DataFrame, width: int, radius: int, probe: bool) -> DataFrame:
     half, out = width // 2, None
     for s, (low, _, r) in enumerate(segments(radius, 2, width)):
         value, rest = _cut(F.col("rest"), low, half), _cut(F.col("rest"), half - low, half)
-        values = F.transform(F.array(*[F.lit(m).cast("long") for m in _ball(half, r if probe else 0)]), lambda m, v=value: m.bitwiseXOR(v))
-        mine = rows.select("fp", "path", rest.alias("rest"), F.explode(values).alias("value"))
-        mine = mine.select("fp", F.xxhash64("path", F.lit(s), "value").alias("path"), "rest")
+        masks = F.array(*[F.lit(m).cast("long") for m in _ball(half, r if probe else 0)])
+        mine = rows.select("fp", "path", rest.alias("rest"), value.alias("own"), F.explode(masks).alias("mask"))
+        mine = mine.select("fp", F.xxhash64("path", F.lit(s), F.col("own").bitwiseXOR(F.col("mask"))).alias("path"), "rest")
         out = mine if out is None else out.unionByName(mine)
     return out
 
