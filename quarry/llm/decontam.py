@@ -9,7 +9,7 @@ hit and discards chance matches.  Items shorter than a window are windows of
 their own length, for which every run of that length is kept.
 
 The benchmark's windows go to the executors only while they are fewer than
-``broadcast_windows``; then no text is shuffled, and the words that the comparison
+``broadcast_bytes``; then no text is shuffled, and the words that the comparison
 needs are at hand in the same generated code.  Beyond that, the documents' kept
 hashes meet the windows in a shuffled join and only documents with a hit are
 joined with their words again.
@@ -66,9 +66,10 @@ def _kept_runs(docs: DataFrame, span: int, k: int, short: list[int]) -> DataFram
     return docs.withColumn("runs", _runs(F.col("words"), k)).select("doc_id", "row", "words", F.concat(long, *each).alias("kept"))
 
 
-def find_hits(docs: DataFrame, windows: DataFrame, span: int, k: int, broadcast_windows: int) -> DataFrame:
+def find_hits(docs: DataFrame, windows: DataFrame, span: int, k: int, broadcast_bytes: int) -> DataFrame:
     """doc_id, row, start, length, wid of every occurrence of a window; docs: doc_id, row, words."""
-    known = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # at most span rows
+    sizes = windows.groupBy("length").agg(F.sum(F.octet_length("window") + 64).alias("bytes")).collect()  # at most span rows
+    known = {r["length"]: r["bytes"] for r in sizes}
     kept = _kept_runs(docs, span, k, sorted(m for m in known if m < span))
     start = F.col("pos") - F.col("off")
     here = F.when(start >= 1, F.array_join(F.slice("words", F.greatest(start, F.lit(1)), F.col("length")), " ") == F.col("window"))
@@ -76,12 +77,14 @@ def find_hits(docs: DataFrame, windows: DataFrame, span: int, k: int, broadcast_
     runs = kept.select("doc_id", "row", "words", F.explode_outer("kept").alias("v"))
     place = F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")
     found = ["doc_id", "row", start.alias("start"), "length", "wid"]
-    if sum(known.values()) <= broadcast_windows:
+    if sum(known.values()) <= broadcast_bytes:
         met = runs.select("doc_id", "row", "words", F.shiftright("v", 32).alias("h"), place)
         return met.join(F.broadcast(windows.drop("items")), "h").filter(here).select(*found)
     met = runs.select("doc_id", "row", F.shiftright("v", 32).alias("h"), place).join(windows.select("h", "off", "length", "wid"), "h")
     met = met.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "pos", "off", "length", "wid")
-    again = docs.dropDuplicates(["doc_id", "row"]).join(met, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    mine = (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    # words are shuffled only of documents with a kept run of some window
+    again = docs.join(met.select("_d", "_r").distinct(), mine, "left_semi").dropDuplicates(["doc_id", "row"]).join(met, mine)
     return again.join(windows.select("wid", "window"), "wid").filter(here).select(*found)
 
 
@@ -97,7 +100,7 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, fresh, lambda acc: acc["sum"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids as text), spans (start, length; from 1), contaminated of every row.
 
     Null and wordless texts have no words and no hits; items without words are no
@@ -108,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     row = F.xxhash64(F.lit("row"), text_of(text_col)).alias("row")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), row, words_of(text_col).alias("words"))
     windows = materialize(_windows(benchmark, span, k, item_col, item_text_col), "windows")
-    hits = find_hits(given, windows, span, k, broadcast_windows)
+    hits = find_hits(given, windows, span, k, broadcast_bytes)
     spans = hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.collect_set("wid").alias("wids"))
     hit = materialize(spans, "hits")
     listed = hit.select("doc_id", "row", F.explode("wids").alias("wid")).join(windows.select("wid", "items"), "wid")
@@ -123,12 +126,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         items.alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"), F.col("spans").isNotNull().alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of the benchmark."""
     row = F.xxhash64(F.lit("row"), text_of(text_col))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), words_of(text_col).alias("words"))
     windows = materialize(_windows(benchmark, span, k, item_col, item_text_col), "windows")
-    hits = find_hits(given, windows, span, k, broadcast_windows).select(F.col("doc_id").alias("_hit_doc"), F.col("row").alias("_hit_row")).distinct()
+    hits = find_hits(given, windows, span, k, broadcast_bytes).select(F.col("doc_id").alias("_hit_doc"), F.col("row").alias("_hit_row")).distinct()
     same = (row == F.col("_hit_row")) & F.col(id_col).cast("long").eqNullSafe(F.col("_hit_doc"))
     return docs.join(materialize(hits, "hits"), same, "left_anti")
 

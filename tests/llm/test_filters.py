@@ -39,9 +39,9 @@ def test_decontamination(spark, odd, empty, plain_rows, most):
                     hit.update(range(s, s + len(win)))
                     ids.add(i)
         want[(d, len(w), len(hit), ",".join(sorted(str(i) for i in ids if i is not None)), bool(hit))] += 1
-    got = decontaminate(odd, bench, broadcast_windows=most)
+    got = decontaminate(odd, bench, broadcast_bytes=most)
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in got.collect()) == want
-    left = drop_contaminated(odd, bench, broadcast_windows=most)
+    left = drop_contaminated(odd, bench, broadcast_bytes=most)
     assert left.columns == odd.columns and left.count() == sum(n for k, n in want.items() if not k[4])
     assert decontaminate(empty, bench).count() == 0
     assert decontaminate(odd, bench.limit(0)).filter("contaminated").count() == 0
