@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import materialize, scratch_path, table
+from quarry.llm.common import drop_scratch, materialize, scratch_path, table
 from quarry.llm.decontam import drop_contaminated
 from quarry.llm.entropy_mix import take_mix
 from quarry.llm.language_id import keep_identified
@@ -57,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            drop_scratch(before)
     return STAGES[-1][1](spark, docs, sf_dir)
