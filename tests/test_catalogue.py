@@ -35,3 +35,23 @@ def test_whole_results_are_registered(spark, sf, duck):
     assert n["term"].nunique() > 100 and n["tf"].max() > 1
     assert len(duck.execute(ORACLES["text_tfidf_all"]).df()) == len(n)
     assert QUERIES["describe_all"](spark, sf).count() == len(duck.execute("DESCRIBE lineitem").df())
+
+
+def test_the_rest_stands_without_the_training_data_part():
+    """With quarry.llm and the pipeline out of reach, the entry lists the engine's queries alone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import importlib.abc, sys
+class Gone(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith(("quarry.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+from quarry.plans.catalogue import QUERIES, ORACLES
+assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0
