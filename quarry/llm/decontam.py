@@ -127,7 +127,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text holds no window of the benchmark."""
+    """The rows of docs, all columns, whose text holds no window of the benchmark.
+
+    Null and wordless texts, and all rows where the benchmark is empty, stay; repeated rows
+    stay or go alike; an empty table stays empty.
+    """
     row = F.xxhash64(F.lit("row"), text_of(text_col))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), words_of(text_col).alias("words"))
     windows = materialize(_windows(benchmark, span, k, item_col, item_text_col), "windows")

@@ -183,7 +183,11 @@ def predict(docs: DataFrame, model: dict, slack: float = 1.25, id_col: str = "do
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
-    """The rows of docs that aren't rejected, with their columns; a null language becomes the predicted one."""
+    """The rows of docs that aren't rejected, with their columns; a null language becomes the predicted one.
+
+    Null texts and those without a letter are rejected; where no row has a language all
+    are; repeated rows stay or go alike; an empty table stays empty.
+    """
     out = annotate(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **how), text_col=text_col, prefix="_lid_")
     return out.filter("NOT _lid_rejected").withColumn(lang_col, F.coalesce(lang_col, "_lid_lang_pred")).select(*docs.columns)
 

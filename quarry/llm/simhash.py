@@ -99,7 +99,7 @@ def near_links(fps: DataFrame, radius: int = 3, heavy: int = 64) -> DataFrame:
     Two segments of 32 bits are indexed.  A bucket of more than ``heavy`` fingerprints is
     indexed again by the two halves of its remaining bits, and so on until these are
     eight, when a bucket has at most 256: rows grow with the fingerprints, never with
-    the square of a bucket.
+    the square of a bucket.  Without fingerprints there are no pairs.
     """
     own = probes = fps.select("fp", F.lit(0).cast("long").alias("path"), F.col("fp").alias("rest"))
     links, width = None, 64

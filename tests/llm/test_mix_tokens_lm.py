@@ -193,6 +193,16 @@ def test_scores(odd, empty, plain_rows):
     assert score_documents(empty).count() == 0
 
 
+def test_held_out_texts_teach_nothing(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 40, 30))) for i in range(40)]
+    out = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert out
+    other = [(i, " ".join(["w1 other"] * 15) if i == out[0] else t) for i, t in rows]
+    a, b = ({r["doc_id"]: (r["score"], r["base_score"], r["train_tokens"]) for r in score_documents(spark.createDataFrame(x, "doc_id long, text string").coalesce(1)).collect()} for x in (rows, other))
+    assert {k: v for k, v in a.items() if k != out[0]} == {k: v for k, v in b.items() if k != out[0]} and a[out[0]] != b[out[0]]
+
+
 def test_continuations_sum_to_one(odd):
     """Over all words that training saw and one unseen word in each rare class."""
     from quarry.llm.recurrent_lm import Lexicon, rare_class
