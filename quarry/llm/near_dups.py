@@ -21,6 +21,7 @@ looking at: the rounds follow how alike a group is, not how large.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _reordered(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """c, n, marks and late of documents whose late shingles are known; docs: text, lo, hi, c, late."""
+    """c, lo, hi, n, marks and late of documents whose late shingles are known; docs: text, lo, hi, c, late."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,47 +109,69 @@ def _reordered(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 part = b.slice(at, _ROWS)
                 found = [(i, len(h), _prefix(h, part.column(4)[i].values.to_numpy().view(np.uint64), similarity)) for i, h in _named_sets(part, words)]
                 rows = pa.array([i for i, _, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(3).take(rows), pa.array([n for _, n, _ in found], pa.int32()), _longs([m for _, _, m in found]), part.column(4).take(rows)], ["c", "n", "marks", "late"])
+                c, lo, hi, late = (part.column(k).take(rows) for k in (3, 1, 2, 4))
+                yield pa.RecordBatch.from_arrays([c, lo, hi, pa.array([n for _, n, _ in found], pa.int32()), _longs([m for _, _, m in found]), late], ["c", "lo", "hi", "n", "marks", "late"])
 
-    return docs.mapInArrow(made, "c long, n int, marks array<long>, late array<long>")
+    return docs.mapInArrow(made, "c long, lo long, hi long, n int, marks array<long>, late array<long>")
 
 
-def _in_order(texts: DataFrame, first: DataFrame, words: int, similarity: float, crowd: int) -> DataFrame:
-    """c, n and marks of first (c, lo, hi, n, marks: prefixes by hash), in the order that puts the shingles which crowd those last.
+def _in_order(texts: DataFrame, first: DataFrame, words: int, similarity: float, crowd: int, counts: int = 3) -> DataFrame:
+    """c, n and marks of first (c, lo, hi, n and marks: prefixes by hash), in the order that puts the shingles which crowd prefixes last.
 
-    A document knows the late shingles that its prefix has held, which are all that
-    matter: rounds go on while a new prefix holds others.
+    Prefixes are counted ``counts`` times, as new ones may be crowded again; more counts
+    would only save work.  A document knows the late shingles that its prefix has held,
+    which are all that matter: rounds go on while a new prefix holds others.
     """
-    spark, entries = first.sparkSession, first.select("c", F.explode("marks").alias("h"))
-    heavy = materialize(entries.groupBy("h").count().filter(F.col("count") > crowd).select("h"), "crowded")
-    late = materialize(entries.join(heavy, "h", "left_semi").groupBy("c").agg(F.collect_set("h").alias("late")), "late")
-    release(spark)
-    changed = None
-    while late.limit(1).count():
-        again = materialize(_reordered(texts.join(first.select("c", "lo", "hi").join(late, "c"), "c").select("text", "lo", "hi", "c", "late"), words, similarity), "prefixes")
-        drop_scratch(late)
-        old, changed = changed, again if changed is None else materialize(changed.join(again.select("c"), "c", "left_anti").unionByName(again), "changed")
-        unknown = again.select("c", "late", F.explode("marks").alias("h")).filter(~F.array_contains("late", F.col("h"))).select("c", "h")
-        more = unknown.join(heavy, "h", "left_semi").groupBy("c").agg(F.collect_set("h").alias("more"))
-        late = materialize(again.select("c", "late").join(more, "c").select("c", F.concat("late", "more").alias("late")), "late")
-        drop_scratch(*([old, again] if old is not None else []))
+    spark, step, again, heavy = first.sparkSession, 0, None, None
+    now = materialize(first.withColumn("late", F.expr("array()").cast("array<long>")), "prefixes")
+    while True:
+        if step < counts:
+            crowded = now.select(F.explode("marks").alias("h")).groupBy("h").count().filter(F.col("count") > crowd).select("h")
+            old, heavy = heavy, materialize(crowded if heavy is None else crowded.unionByName(heavy).distinct(), "crowded")
+            drop_scratch(*([old] if old is not None else []))
+        asked = now if step < counts else again  # the others were asked when heavy was last counted
+        unknown = asked.select("c", "late", F.explode("marks").alias("h")).filter(~F.array_contains("late", F.col("h"))).select("c", "h")
+        more = materialize(unknown.join(heavy, "h", "left_semi").groupBy("c").agg(F.collect_set("h").alias("more")), "late")
         release(spark)
-    plain = first.select("c", "n", "marks")
-    return plain if changed is None else plain.join(changed.select("c"), "c", "left_anti").unionByName(changed.select("c", "n", "marks"))
-
-
-def _alike(texts: DataFrame, names: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are alike, as a table; two empty sets are."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = materialize(_sets(texts.join(names.join(asked, "c", "left_semi"), "c").select("text", "lo", "hi", "c"), words), "sets")
-    one, two = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b")
-    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    out = materialize(both.filter((total == 0) | (shared >= similarity * (total - shared) - 1e-9)).select("a", "b"), "links")
-    drop_scratch(pairs, sets)
-    release(out.sparkSession)
-    return out
+        if not more.limit(1).count():
+            drop_scratch(*([heavy, more] if again is None else [heavy, more, again]))
+            return now.select("c", "n", "marks")
+        known = asked.join(more, "c").select("c", "lo", "hi", F.concat("late", "more").alias("late"))
+        new = materialize(_reordered(texts.join(known, "c").select("text", "lo", "hi", "c", "late"), words, similarity), "changed")
+        old, now = now, materialize(now.join(more.select("c"), "c", "left_anti").unionByName(new), "prefixes")
+        drop_scratch(*([old, more] if again is None else [old, more, again]))
+        again, step = new, step + 1
+        release(spark)
+
+
+def _alike(texts: DataFrame, names: DataFrame, pairs: DataFrame, words: int, similarity: float, turns: int = 1) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets are alike, as a table; two empty sets are.  Sets are on disk for one of the turns at a time."""
+    pairs, out = materialize(pairs.select("a", "b").distinct(), "pairs"), []
+    for turn in range(turns):
+        mine = pairs.filter(F.pmod(F.xxhash64(F.lit("turn"), "a"), F.lit(turns)) == turn)
+        asked = mine.select(F.col("a").alias("c")).unionByName(mine.select(F.col("b").alias("c"))).distinct()
+        sets = materialize(_sets(texts.join(names.join(asked, "c", "left_semi"), "c").select("text", "lo", "hi", "c"), words), "sets")
+        one, two = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        both = mine.join(one, "a").join(two, "b")
+        shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+        out.append(materialize(both.filter((total == 0) | (shared >= similarity * (total - shared) - 1e-9)).select("a", "b"), "links"))
+        drop_scratch(sets)
+        release(pairs.sparkSession)
+    drop_scratch(pairs)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _sharing(ordered: DataFrame, pairs: DataFrame, turns: int = 4) -> DataFrame:
+    """Those of pairs (a, b, marks) that share that many marks, as a table; marks are compared by 32 of their bits, which finds no fewer."""
+    short, out = ordered.select("c", F.transform("marks", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s")), []
+    one, two = (short.select(F.col("c").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    for turn in range(turns):
+        mine = pairs.filter(F.pmod(F.xxhash64(F.lit("turn"), "a"), F.lit(turns)) == turn)
+        both = mine.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("sa", "sb")) + F.size("sa") - F.size(F.array_distinct("sa")) >= F.col("marks"))
+        out.append(materialize(both.select("a", "b"), "sharing"))
+        release(pairs.sparkSession)
+    drop_scratch(pairs)
+    return reduce(DataFrame.unionByName, out)
 
 
 def _sizes_fit(m: Column, n: Column, similarity: float) -> Column:
@@ -164,9 +187,9 @@ def near_components(texts: DataFrame, first: DataFrame, words: int, similarity:
     simhash = simhash.select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(first.join(hubs, "fp").filter("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")))
 
     ordered = _in_order(texts, first.select("c", "lo", "hi", "n", "marks"), words, similarity, crowd)
-    entries = ordered.select("c", "n", F.size("marks").alias("p"), F.explode("marks").alias("h"))
+    entries = ordered.select("c", "n", F.size("marks").alias("p"), F.posexplode("marks").alias("i", "h"))
     several = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    met = materialize(entries.join(several, "h"), "met")  # h, c, n, p, k
+    met = materialize(entries.join(several, "h"), "met")  # h, c, n, p, i (place of h among the p marks), k
     release(first.sparkSession)
     # members of crowded shingles by their first few: large groups have these in common, and the rounds need no more
     some = met.filter(F.col("k") > crowd).groupBy("c", "n").agg(F.slice(F.sort_array(F.collect_set("h")), 1, 4).alias("hs"))
@@ -182,9 +205,9 @@ def near_components(texts: DataFrame, first: DataFrame, words: int, similarity:
             drop_scratch(now, some)
             break
         before = work
-        # the members of each crowded shingle against the one that comes first in this round's order
-        turn = F.struct(F.xxhash64(F.lit(r), F.col("c")).alias("o"), "c", "comp", "n")
-        lead = now.groupBy("h").agg(F.min(turn).alias("l"))
+        # the members of each crowded shingle against those that come first in four orders of this round
+        turns = [F.min(F.struct(F.xxhash64(F.lit(4 * r + i), F.col("c")).alias("o"), "c", "comp", "n")) for i in range(4)]
+        lead = now.groupBy("h").agg(F.array(*turns).alias("ls")).select("h", F.explode("ls").alias("l"))
         pairs = now.join(lead, "h").filter((F.col("comp") != F.col("l.comp")) & _sizes_fit(F.col("n"), F.col("l.n"), similarity))
         new = _alike(texts, names, pairs.select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b")), words, similarity)
         old, known = known, materialize(known.unionByName(new).distinct(), "links")
@@ -194,17 +217,18 @@ def near_components(texts: DataFrame, first: DataFrame, words: int, similarity:
     drop_scratch(met, found)
     most = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"))
     outside = now.join(most.filter("comps > 1").select("h", F.col("x.comp").alias("major")), "h").filter("comp <> major")
-    left = outside.select("h", F.col("c").alias("a"), F.col("n").alias("m"), F.col("p").alias("pa"), F.col("comp").alias("ca"), "major")
-    right = now.select("h", F.col("c").alias("b"), "n", F.col("p").alias("pb"), F.col("comp").alias("cb"))
+    left = outside.select("h", F.col("c").alias("a"), F.col("n").alias("m"), F.col("p").alias("pa"), F.col("i").alias("ia"), F.col("comp").alias("ca"), "major")
+    right = now.select("h", F.col("c").alias("b"), "n", F.col("p").alias("pb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
     once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-    met_by = left.join(right, "h").filter((F.col("ca") != F.col("cb")) & once & _sizes_fit(F.col("m"), F.col("n"), similarity))
-    # outside the prefix that ends first only the rest of that set can be shared
-    rest, both = F.greatest(F.col("m") - F.col("pa"), F.col("n") - F.col("pb")), F.col("m") + F.col("n")
-    pairs = met_by.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(rest).alias("rest"), F.max(both).alias("both"))
-    pairs = pairs.filter(F.col("shared") + F.col("rest") >= F.lit(similarity / (1 + similarity)) * F.col("both") - 1e-6)
-    last = _alike(texts, names, pairs, words, similarity)
+    # all but the rest of one set must be shared marks, so the first of these has as many behind it in both prefixes
+    marks = F.greatest(F.lit(1), F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - F.greatest(F.col("m") - F.col("pa"), F.col("n") - F.col("pb")) - 1e-6))
+    early = (F.col("ia") <= F.col("pa") - marks) & (F.col("ib") <= F.col("pb") - marks)
+    met_by = left.join(right, "h").filter((F.col("ca") != F.col("cb")) & once & _sizes_fit(F.col("m"), F.col("n"), similarity) & early)
+    pairs = met_by.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(marks).alias("marks"))
+    pairs = _sharing(ordered, materialize(pairs, "pairs"))
+    last = _alike(texts, names, pairs, words, similarity, turns=4)
     out = materialize(components(known.unionByName(last)), "components")
-    drop_scratch(known, last, now)
+    drop_scratch(known, now, ordered)
     return out
 
 
