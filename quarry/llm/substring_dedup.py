@@ -1,14 +1,15 @@
-"""Removing bytes that repeat an earlier document, by difference-cover suffix sorting.
+"""Removing bytes that repeat an earlier document.
 
 Every window of ``length`` bytes has an anchor: its run of ``k`` bytes of least
 hash.  Equal windows have equal anchors, so windows can be dealt by anchor.  First
 only the anchors' hashes are shuffled, to find those in two documents; only they
-go on, with the bytes of their windows (a context).  Equal contexts collapse to
-one with its least document, so copies and common passages never gather in a task.
-Contexts that share an anchor but differ are sorted together: each task runs the
-difference-cover algorithm over the contexts of its anchors and compares adjacent
-prefixes (suffix_array.py); windows of equal prefixes get their least document.
-An anchor with more than ``hot`` contexts is dealt window by window instead.
+go on, with the bytes of their windows (a context).  Each task sorts the windows of
+its contexts, the suffixes cut at ``length``, by a hash of their bytes, compares the
+bytes of neighbours, and gives every window the least document that has it; equal
+contexts count once there.  Should two neighbours differ in spite of one hash, the
+task sorts whole suffixes by the difference-cover algorithm (suffix_array.py).
+Windows of anchors in more than ``hot`` documents, as the edges of very common
+passages have, are dealt by their own bytes instead.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_scratch, materialize, release, table
+from quarry.llm.common import materialize, release, table
 from quarry.llm.suffix_array import prefix_classes, suffix_array
 
 _PIECE = 1 << 18
@@ -70,24 +70,58 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _least_documents(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """h, cid, found: for each window of each context the least document of the contexts that hold it; one value if all are equal."""
-    parts, starts, at = [], [], 0
-    for c in pdf["context"]:
-        parts.append(np.concatenate((np.frombuffer(c, np.uint8).astype(np.int64) + 2, np.ones(1, np.int64))))
-        starts.append(np.arange(at, at + len(c) - length + 1))
-        at += len(c) + 1
-    s = np.concatenate(parts)
-    classes = prefix_classes(s, suffix_array(s), length)
-    where = np.concatenate(starts)
-    size = np.array([len(x) for x in starts])
-    least = np.full(len(s) + 1, _LAST)
-    np.minimum.at(least, classes[where], np.repeat(pdf["least"].to_numpy(np.int64), size))
-    found = np.split(least[classes[where]], np.cumsum(size)[:-1])
-    return pd.DataFrame({"h": pdf["h"], "cid": pdf["cid"], "cid2": pdf["cid2"], "found": [f[:1].tolist() if (f == f[0]).all() else f.tolist() for f in found]})
-
-
-def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes: int) -> DataFrame:
+def window_classes(data: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of length (8 at least) bytes of data that starts in where: equal for equal bytes only."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    words = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        words = (words << np.uint64(8)) | padded[i : i + len(data)]
+    offsets = [*range(0, length - 8, 8), length - 8]
+    key = np.zeros(len(where), np.uint64)
+    with np.errstate(over="ignore"):
+        for o in offsets:
+            key = (key ^ words[where + o]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+    order = np.argsort(key)
+    key, at = key[order], where[order]
+    same = key[1:] == key[:-1]
+    left, right = at[:-1][same], at[1:][same]
+    if not all((words[left + o] == words[right + o]).all() for o in offsets):
+        text = data.astype(np.int64) + 1
+        return prefix_classes(text, suffix_array(text), length)[where]
+    out = np.empty(len(where), np.int64)
+    out[order] = np.concatenate([np.zeros(min(1, len(where)), np.int64), np.cumsum(~same)])
+    return out
+
+
+def covered(contexts: pa.Array, d: np.ndarray, row: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    """d, row, start and end of what windows of a smaller d cover, of contexts that start in at of their rows."""
+    coded = contexts.dictionary_encode()
+    which, distinct = coded.indices.to_numpy(), coded.dictionary
+    ends = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+    data = np.frombuffer(distinct.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    begin, size = ends[:-1] - ends[0], np.diff(ends)
+    least = np.full(len(distinct), _LAST)
+    np.minimum.at(least, which, d)
+    n = size - length + 1
+    first = np.cumsum(n) - n
+    where = np.repeat(begin - first, n) + np.arange(n.sum())
+    classes = window_classes(data, where, length)
+    low = np.full(int(classes.max()) + 1, _LAST)
+    np.minimum.at(low, classes, np.repeat(least, n))
+    found = low[classes]
+    lowest, highest = np.minimum.reduceat(found, first)[which], np.maximum.reduceat(found, first)[which]
+    whole = highest < d
+    out = [(d[whole], row[whole], at[whole], at[whole] + size[which[whole]])]
+    for i in np.nonzero(~whole & (lowest < d))[0].tolist():
+        j = which[i]
+        edge = np.diff(np.concatenate(([0], (found[first[j] : first[j] + n[j]] < d[i]).astype(np.int8), [0])))
+        a, z = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        out.append((np.full(len(a), d[i]), np.full(len(a), row[i]), at[i] + a, at[i] + z - 1 + length))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_contexts: int) -> DataFrame:
     """d, row and ranges (sorted starts and ends, from 0) of bytes that windows of a smaller d cover; docs: d, row, text."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +132,12 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), b.column(0)[i].as_py())), pa.array(np.full(len(h), b.column(1)[i].as_py()))], ["h", "d", "row"])
 
     of = Window.partitionBy("h")
-    seen = docs.mapInArrow(hashes, "h long, d long, row long").select("h", "d", "row", F.min("d").over(of).alias("lo"), F.max("d").over(of).alias("hi"))
-    several = seen.filter("lo < hi").groupBy("d", "row").agg(F.collect_set("h").alias("hs"))
-    several = materialize(several.select(F.col("d").alias("_d"), F.col("row").alias("_row"), "hs"), "anchors")
+    seen = docs.mapInArrow(hashes, "h long, d long, row long").select("h", "d", "row", F.min("d").over(of).alias("lo"), F.max("d").over(of).alias("hi"), F.count(F.lit(1)).over(of).alias("n"))
+    several = seen.filter("lo < hi").groupBy("d", "row").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("crowd"))
+    several = materialize(several.withColumnsRenamed({"d": "_d", "row": "_row"}), "anchors")
     release(docs.sparkSession)
+    colds, crowds = several.agg(F.coalesce(F.sum(F.size("cold")), F.lit(0)), F.coalesce(F.sum(F.size("crowd")), F.lit(0))).first()
+    mine = (F.col("d") == F.col("_d")) & (F.col("row") == F.col("_row"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,59 +145,31 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_bytes:
                 data = _bytes(b.column(2)[i].as_py())
                 h, first, last = anchors(data, length, k)
                 keep = np.isin(h, b.column(3)[i].values.to_numpy())
-                texts = [data[a : z + length] for a, z in zip(first[keep], last[keep], strict=True)]
+                texts = [data[a : z + length] for a, z in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(texts, pa.binary()), pa.array(np.full(n, b.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, b.column(1)[i].as_py(), np.int64)), pa.array(first[keep])], ["h", "context", "d", "row", "at"])
 
-    mine = (F.col("d") == F.col("_d")) & (F.col("row") == F.col("_row"))
-    shown = docs.join(several, mine).select("d", "row", "text", "hs").mapInArrow(contexts, "h long, context binary, d long, row long, at long")
-    # a context goes by its anchor's hash and two of its own: 192 bits
-    named = shown.withColumn("cid", F.xxhash64("context")).withColumn("cid2", F.xxhash64(F.lit(1), "context"))
-    places = materialize(named.withColumn("size", F.length("context").cast("long")), "places")
-    drop_scratch(several)
-    release(docs.sparkSession)
-    one = places.groupBy("h", "cid", "cid2").agg(F.min("d").alias("least"), F.first("context").alias("context"))
-    one = materialize(one, "contexts")
-    release(docs.sparkSession)
-    crowds = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("context") + 1).alias("bytes"))
-    crowds = materialize(crowds.filter("n > 1"), "crowds")
-    alike = one.join(crowds, "h").select("h", "cid", "cid2", "context", "least", "n")
-    cold = alike.filter(F.col("n") <= hot)
-    total = crowds.filter(F.col("n") <= hot).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    tasks = max(1, math.ceil(total / task_bytes))
-    kind = "h long, cid long, cid2 long, found array<long>"
-    least = cold.withColumn("task", F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int")).groupBy("task").applyInPandas(lambda pdf: _least_documents(pdf, length), kind)
-    if crowds.filter(F.col("n") > hot).limit(1).count():
-        crowd = alike.filter(F.col("n") > hot)
-        windows = crowd.select("h", "cid", "cid2", "context", "least", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
-        windows = windows.select("h", "cid", "cid2", "least", "pos", F.substring("context", F.col("s"), F.lit(length)).alias("window"))
-        each = windows.groupBy("window").agg(F.min("least").alias("w_least"))
-        by_context = windows.join(each, "window").groupBy("h", "cid", "cid2").agg(F.sort_array(F.collect_list(F.struct("pos", "w_least"))).alias("l"))
-        least = least.unionByName(by_context.select("h", "cid", "cid2", F.col("l.w_least").alias("found")))
-    single = one.join(crowds.select("h"), "h", "left_anti").select("h", "cid", "cid2", F.array("least").alias("found"))
-    found = materialize(least.unionByName(single), "found")
-    drop_scratch(one, crowds)
-    release(docs.sparkSession)
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d, row, at, size = (b.column(i).to_numpy() for i in range(4))
-            out = []
-            for i in range(b.num_rows):
-                n = size[i] - length + 1
-                got = b.column(4)[i].values.to_numpy() < d[i]
-                got = np.repeat(got, n) if len(got) == 1 else got
-                edge = np.diff(np.concatenate(([0], got.astype(np.int8), [0])))
-                out += [(d[i], row[i], at[i] + a, at[i] + z - 1 + length) for a, z in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], strict=True)]
-            cols = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "row", "start", "end"])
-
-    joined = places.select("h", "cid", "cid2", "d", "row", "at", "size").join(found, ["h", "cid", "cid2"]).select("d", "row", "at", "size", "found")
-    spans = joined.mapInArrow(ranges, "d long, row long, start long, end long")
+    def shown(which: str) -> DataFrame:
+        some = several.filter(F.size(which) > 0).select("_d", "_row", F.col(which).alias("hs"))
+        return docs.join(some, mine).select("d", "row", "text", "hs").mapInArrow(contexts, "h long, context binary, d long, row long, at long")
+
+    def ranges(t: pa.Table) -> pa.Table:
+        d, row, at = (t[c].to_numpy() for c in ("d", "row", "at"))
+        return pa.table(dict(zip(("d", "row", "start", "end"), covered(t["context"].combine_chunks(), d, row, at, length), strict=True)))
+
+    task = F.pmod(F.xxhash64("h"), F.lit(max(1, math.ceil(colds / task_contexts)))).cast("int")
+    spans = shown("cold").select(task.alias("task"), "context", "d", "row", "at").groupBy("task").applyInArrow(ranges, "d long, row long, start long, end long")
+    if crowds:
+        places = shown("crowd").select("d", "row", "at", "context", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
+        windows = materialize(places.select("d", "row", (F.col("at") + F.col("pos")).alias("start"), F.substring("context", F.col("s"), F.lit(length)).alias("window")), "windows")
+        release(docs.sparkSession)
+        least = windows.groupBy("window").agg(F.min("d").alias("least"))
+        late = windows.join(least, "window").filter("least < d").select("d", "row", "start", (F.col("start") + length).alias("end"))
+        spans = spans.unionByName(late)
     return spans.groupBy("d", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20_000, task_bytes: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20_000, task_contexts: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) of every row.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document of
@@ -172,7 +180,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("d")
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(d, F.xxhash64(text).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    gone = repeated_ranges(given.select("d", "row", "text"), length, k, hot, task_bytes)
+    gone = repeated_ranges(given.select("d", "row", "text"), length, k, hot, task_contexts)
     gone = materialize(gone.select(F.col("d").alias("_d"), F.col("row").alias("_row"), "ranges"), "ranges")
     release(docs.sparkSession)
 

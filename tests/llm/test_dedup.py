@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from quarry.llm.exact_dedup import build_mph, exact_dedup, look_up
 from quarry.llm.near_dups import drop_near_duplicates, near_duplicates
 from quarry.llm.simhash import _halves, near_links, segments, shingle_hashes, simhash_components
-from quarry.llm.substring_dedup import anchors, remove_repeats
+from quarry.llm.substring_dedup import anchors, remove_repeats, window_classes
 from quarry.llm.suffix_array import prefix_classes, suffix_array
 
 
@@ -86,6 +86,7 @@ def test_a_crowded_bucket_takes_rows_in_proportion(spark):
     for n in (5_000, 20_000):
         fps = spark.createDataFrame([(int(x),) for x in np.unique(rng.integers(0, 1 << 32, n))], "fp long")
         own = _halves(fps.selectExpr("fp", "0L AS path", "fp AS rest"), 64, 3, False)
+        assert own.select("path").distinct().count() == fps.count() + 1  # the shared segment, and each its own
         deep = _halves(_halves(own, 32, 3, True), 16, 3, True)
         each.append(deep.count() / n)
         assert near_links(fps).filter("bit_count(a ^ b) > 3").count() == 0
@@ -146,7 +147,30 @@ def test_equal_windows_have_equal_anchors(left, mid, right):
     assert all(x[w] == y[w] for w in x.keys() & y.keys())
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+def test_window_classes():
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    for length in (8, 11, 16, 50):
+        where = np.sort(rng.choice(len(data) - length, 1500, replace=False))
+        strings = [data[i : i + length].tobytes() for i in where]
+        got = window_classes(data, where, length)
+        assert len(set(zip(strings, got.tolist()))) == len(set(strings)) == len(set(got.tolist()))
+        text = data.astype(np.int64) + 1
+        by_cover = prefix_classes(text, suffix_array(text), length)[where]
+        assert len(set(zip(by_cover.tolist(), got.tolist()))) == len(set(strings))
+
+
+def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
+    import quarry.llm.substring_dedup as m
+
+    data = np.random.default_rng(8).integers(97, 101, 3000).astype(np.uint8).tobytes()
+    at = lambda: {(int(i), int(x)) for x, a, z in zip(*anchors(data, 50, 26)) for i in range(a, z + 1)}
+    whole = at()
+    monkeypatch.setattr(m, "_PIECE", 257)
+    assert at() == whole and len(whole) == 3000 - 49
+
+
+@pytest.mark.parametrize("hot", [20_000, 1, 3])
 def test_substrings(odd, empty, plain_rows, hot):
     length = 12
     first = {}
