@@ -120,7 +120,7 @@ def _in_order(texts: DataFrame, first: DataFrame, words: int, similarity: float,
 
     Prefixes are counted ``counts`` times, as new ones may be crowded again; more counts
     would only save work.  A document knows the late shingles that its prefix has held,
-    which are all that matter: rounds go on while a new prefix holds others.
+    which are all that matter, and the last round lets it know all.
     """
     spark, step, again, heavy = first.sparkSession, 0, None, None
     now = materialize(first.withColumn("late", F.expr("array()").cast("array<long>")), "prefixes")
@@ -137,11 +137,18 @@ def _in_order(texts: DataFrame, first: DataFrame, words: int, similarity: float,
             drop_scratch(*([heavy, more] if again is None else [heavy, more, again]))
             return now.select("c", "n", "marks")
         known = asked.join(more, "c").select("c", "lo", "hi", F.concat("late", "more").alias("late"))
+        if last := step > counts:  # documents made of late shingles learn all of theirs at once
+            each = _sets(texts.join(known, "c").select("text", "lo", "hi", "c"), words).select("c", F.explode("shingles").alias("h"))
+            whole = materialize(each.join(heavy, "h", "left_semi").groupBy("c").agg(F.collect_set("h").alias("late")), "whole")
+            known = known.drop("late").join(whole, "c")
         new = materialize(_reordered(texts.join(known, "c").select("text", "lo", "hi", "c", "late"), words, similarity), "changed")
         old, now = now, materialize(now.join(more.select("c"), "c", "left_anti").unionByName(new), "prefixes")
         drop_scratch(*([old, more] if again is None else [old, more, again]))
         again, step = new, step + 1
         release(spark)
+        if last:
+            drop_scratch(heavy, whole, again)
+            return now.select("c", "n", "marks")
 
 
 def _alike(texts: DataFrame, names: DataFrame, pairs: DataFrame, words: int, similarity: float, turns: int = 1) -> DataFrame:
