@@ -33,28 +33,26 @@ class Gru:
         """The next state from an input's row of table() and the state."""
         k = self.hidden
         own = h @ self.p["Wh"]
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * k] + own[:, : 2 * k])))
-        n = np.tanh(gates[:, 2 * k :] + zr[:, k:] * own[:, 2 * k :])
+        zr = _sigmoid(gates[:, : 2 * k] + own[:, : 2 * k])
+        n = _tanh(gates[:, 2 * k :] + zr[:, k:] * own[:, 2 * k :])
         return n + zr[:, :k] * (h - n)
 
     def log_probs(self, hs: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
         """ln P(class) + ln P(word | class) of each row; only ln P(class) for rare classes."""
-        logits = hs @ self.p["Wc"] + self.p["bc"]
-        out = logits[np.arange(len(hs)), classes] - _lse(logits)
-        order = np.argsort(classes, kind="stable")
+        out = _log_share(hs, self.p["Wc"], self.p["bc"], classes)
+        order = np.argsort(classes.astype(np.uint16), kind="stable")  # a radix sort
         ends = np.searchsorted(classes[order], np.arange(self.frequent + 1))
         for c in range(self.frequent):
             rows = order[ends[c] : ends[c + 1]]
             lo, hi = self.bounds[c], self.bounds[c + 1]
             if len(rows) and hi - lo > 1:
-                inner = hs[rows] @ self.p["Ww"][:, lo:hi] + self.p["bw"][lo:hi]
-                out[rows] += inner[np.arange(len(rows)), words[rows] - lo] - _lse(inner)
+                out[rows] += _log_share(hs[rows], self.p["Ww"][:, lo:hi], self.p["bw"][lo:hi], words[rows] - lo)
         return out
 
     def _outputs(self, hs: np.ndarray, classes: np.ndarray, words: np.ndarray, g: dict) -> np.ndarray:
         """Adds the output layers' gradients of the mean loss to g; the gradient of hs."""
         m = len(hs)
-        d = _softmax(hs @ self.p["Wc"] + self.p["bc"])
+        d = _softmax(hs, self.p["Wc"], self.p["bc"])
         d[np.arange(m), classes] -= 1
         d /= m
         g["Wc"] += hs.T @ d
@@ -64,10 +62,11 @@ class Gru:
             lo, hi = self.bounds[c], self.bounds[c + 1]
             if hi - lo > 1:
                 rows = np.nonzero(classes == c)[0]
-                d = _softmax(hs[rows] @ self.p["Ww"][:, lo:hi] + self.p["bw"][lo:hi])
+                own = hs[rows]
+                d = _softmax(own, self.p["Ww"][:, lo:hi], self.p["bw"][lo:hi])
                 d[np.arange(len(rows)), words[rows] - lo] -= 1
                 d /= m
-                g["Ww"][:, lo:hi] += hs[rows].T @ d
+                g["Ww"][:, lo:hi] += own.T @ d
                 g["bw"][lo:hi] += d.sum(axis=0)
                 dh[rows] += d @ self.p["Ww"][:, lo:hi].T
         return dh
@@ -78,31 +77,40 @@ class Gru:
         wh, gates = self.p["Wh"], self.table()[inputs]
         seen = []
         for t in range(steps):
-            h = np.where(starts[t][:, None], np.float32(0), h)
+            if starts[t].any():
+                h = np.where(starts[t][:, None], np.float32(0), h)
             own = h @ wh
-            zr = 1 / (1 + np.exp(-(gates[t][:, : 2 * k] + own[:, : 2 * k])))
-            n = np.tanh(gates[t][:, 2 * k :] + zr[:, k:] * own[:, 2 * k :])
+            zr = _sigmoid(gates[t][:, : 2 * k] + own[:, : 2 * k])
+            n = _tanh(gates[t][:, 2 * k :] + zr[:, k:] * own[:, 2 * k :])
             new = n + zr[:, :k] * (h - n)
             seen.append((h, own[:, 2 * k :], zr[:, :k], zr[:, k:], n, new))
             h = new
         g = {name: np.zeros_like(x) for name, x in self.p.items()}
         hs = np.concatenate([s[5] for s in seen])
         out = self._outputs(hs, classes.ravel(), words.ravel(), g).reshape(steps, -1, k)
-        back, pre = np.zeros_like(h), np.empty_like(gates)
+        back, pre, own = np.zeros_like(h), np.empty_like(gates), np.empty_like(gates[0])
         for t in range(steps - 1, -1, -1):
             prev, own_n, z, r, n, _ = seen[t]
             d = out[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (prev - n) * z * (1 - z)
-            dr = dn * own_n * r * (1 - r)
-            pre[t] = np.concatenate([dz, dr, dn], axis=1)
-            own = np.concatenate([dz, dr, dn * r], axis=1)
+            rest = d * (1 - z)
+            dn, dz, dr = pre[t][:, 2 * k :], pre[t][:, :k], pre[t][:, k : 2 * k]
+            np.multiply(rest, 1 - n * n, out=dn)
+            np.multiply(rest * z, prev - n, out=dz)
+            last = dn * r
+            np.multiply(last * own_n, 1 - r, out=dr)
+            own[:, : 2 * k], own[:, 2 * k :] = pre[t][:, : 2 * k], last
             g["Wh"] += prev.T @ own
-            back = np.where(starts[t][:, None], np.float32(0), d * z + own @ wh.T)
-        flat = pre.reshape(-1, 3 * k)
-        g["b"] += flat.sum(axis=0)
-        g["Wx"] += self.p["E"][inputs.ravel()].T @ flat
-        np.add.at(g["E"], inputs.ravel(), flat @ self.p["Wx"].T)
+            back = d * z + own @ wh.T
+            if starts[t].any():
+                back[starts[t]] = 0
+        # the table's gradient, a row for each input that occurs, goes on to its factors
+        flat, ids = pre.reshape(-1, 3 * k), inputs.ravel()
+        order = np.argsort(ids.astype(np.uint16) if len(self.p["E"]) <= 1 << 16 else ids, kind="stable")
+        first = np.nonzero(np.diff(ids[order], prepend=-1))[0]
+        used, sums = ids[order[first]], np.add.reduceat(flat[order], first, axis=0)
+        g["b"] += sums.sum(axis=0)
+        g["Wx"] += self.p["E"][used].T @ sums
+        g["E"][used] = sums @ self.p["Wx"].T
         return g, h
 
     def train_flat(self, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, begin: np.ndarray, lanes: int = 32, window: int = 24, passes: int = 4, rate: float = 6e-3) -> None:
@@ -130,14 +138,39 @@ class Gru:
                     self.p[n] -= (step * (m[n] / (1 - 0.9**done)) / (np.sqrt(v2[n] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
 
 
-def _lse(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    return np.tanh(x, out=x)
+
+
+def _exp_logits(hs: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits less a shift of each row, their exponentials and the sums of these; states lie in -1 to 1, so weights bound the logits and few need a shift."""
+    x = hs @ w
+    x += b
+    if float((np.abs(w).sum(axis=0) + np.abs(b)).max()) > 60:
+        x -= x.max(axis=1, keepdims=True)
+    e = np.exp(x)
+    return x, e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def _log_share(hs: np.ndarray, w: np.ndarray, b: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """ln of the softmax at one column of each row."""
+    x, _, sums = _exp_logits(hs, w, b)
+    return x[np.arange(len(x)), which] - np.log(sums)
+
+
+def _softmax(hs: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    _, e, sums = _exp_logits(hs, w, b)
+    e *= (1 / sums)[:, None]
+    return e
 
 
 def document_scores(model: Gru, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: int, window: int = 64, lanes: int = 4096) -> np.ndarray:
@@ -151,26 +184,19 @@ def document_scores(model: Gru, docs: list[tuple[np.ndarray, np.ndarray, np.ndar
     for lo in range(0, len(order), lanes):
         mine = order[lo : lo + lanes]
         size = np.array([len(docs[i][0]) for i in mine])
-        h, last = np.zeros((len(mine), model.hidden), np.float32), np.full(len(mine), first)
-        for at in range(0, int(size[0]) if len(size) else 0, window):
-            n = int(np.searchsorted(-size, -at, side="left"))  # those longer than at
-            steps = min(window, int(size[0]) - at)
-            part = [np.zeros((steps, n), np.int64) for _ in range(3)]
-            for j in range(n):
-                for grid, a in zip(part, docs[mine[j]], strict=True):
-                    a = a[at : at + steps]
-                    grid[: len(a), j] = a
-            h, hs, who = h[:n], [], []
-            for t in range(steps):
-                alive = int(np.searchsorted(-size[:n], -(at + t), side="left"))
-                given = part[0][t - 1][:alive] if t else last[:alive]
+        x, classes, words = (np.concatenate([docs[i][j] for i in mine]) for j in range(3))
+        begin = np.cumsum(size) - size
+        h = np.zeros((len(mine), model.hidden), np.float32)
+        for at in range(0, int(size[0]), window):
+            hs, who = [], []
+            for t in range(at, min(at + window, int(size[0]))):
+                alive = int(np.searchsorted(-size, -t, side="left"))  # those longer than t
+                given = x[begin[:alive] + t - 1] if t else np.full(alive, first)
                 h = model.step(table[given], h[:alive])
                 hs.append(h)
                 who.append(alive)
-            classes = np.concatenate([part[1][t][:k] for t, k in enumerate(who)])
-            words = np.concatenate([part[2][t][:k] for t, k in enumerate(who)])
             lane = np.concatenate([np.arange(k) for k in who])
-            got = model.log_probs(np.concatenate(hs), classes, words)
-            out[mine[:n]] += np.bincount(lane, weights=got.astype(np.float64), minlength=n)
-            last = part[0][steps - 1][: len(h)]
+            where = begin[lane] + np.repeat(np.arange(at, at + len(who)), who)
+            got = model.log_probs(np.concatenate(hs), classes[where], words[where])
+            out[mine[: who[0]]] += np.bincount(lane, weights=got.astype(np.float64), minlength=who[0])
     return out

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from quarry.llm.gru import Gru, document_scores
 
 #: The end of a text, as a word.
 END = ""
+#: Texts that are split at once.
+_ROWS = 1024
 _BLOCKS = "block long, docs binary, sizes binary, tokens binary, words array<string>, counts array<long>"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -43,6 +46,21 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
+def _tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts one after another, as tokens_of() gives them, and how many each has."""
+    own = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower misreads slices
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own.cast(pa.large_string()), "")))
+    words, parent = cut.flatten(), pc.list_parent_indices(cut).to_numpy()
+    given = pc.binary_length(words).to_numpy() > 0
+    lengths = np.bincount(parent[given], minlength=len(texts)) + 1
+    ends = np.cumsum(lengths)
+    take = np.full(ends[-1] if len(ends) else 0, len(words))
+    inner = np.ones(len(take), bool)
+    inner[ends - 1] = False
+    take[inner] = np.nonzero(given)[0]
+    return pa.concat_arrays([words, pa.array([END], words.type)]).take(pa.array(take)), lengths
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents that nothing is learned from; null ids aren't among them."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -61,10 +79,11 @@ def blocks_of(docs: DataFrame, block_tokens: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        ids, held, sizes, tokens, words, total = [], [], [], [], {}, 0
+        ids, held, sizes, tokens, total = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            flat = np.concatenate(tokens)
+            coded = pa.chunked_array(tokens).combine_chunks().dictionary_encode()
+            flat, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
             learn = np.repeat(~np.array(held), sizes)
             counts = np.bincount(flat[learn], minlength=len(words))
             known = np.array([d is not None for d in ids])
@@ -72,25 +91,26 @@ def blocks_of(docs: DataFrame, block_tokens: int) -> DataFrame:
             planes = (flat & 0xFFFF).astype("<u2").tobytes() + (flat >> 16).astype("<u2").tobytes()
             return pa.RecordBatch.from_arrays([
                 pa.array([(task << 32) | number]), pa.array([docs_], pa.binary()), pa.array([np.array(sizes, "<i8").tobytes()], pa.binary()), pa.array([planes], pa.binary()),
-                pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(counts, pa.int64())),
             ], ["block", "docs", "sizes", "tokens", "words", "counts"])
 
         for b in batches:
-            texts = b.column(1)
-            for i, (d, h) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                own = tokens_of(texts[i].as_py())
-                for w in set(own):
-                    if w not in words:
-                        words[w] = len(words)
-                ids.append(d)
-                held.append(h)
-                sizes.append(len(own))
-                tokens.append(np.fromiter(map(words.__getitem__, own), np.int64, len(own)))
-                total += len(own)
-                if total >= block_tokens:
-                    yield block()
-                    number += 1
-                    ids, held, sizes, tokens, words, total = [], [], [], [], {}, 0
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                own, lengths = _tokenised(part.column(1))
+                ends, start = np.cumsum(lengths), 0
+                for i, (d, h) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    ids.append(d)
+                    held.append(h)
+                    total += int(lengths[i])
+                    if total >= block_tokens or i + 1 == part.num_rows:
+                        sizes.extend(lengths[len(sizes) - len(ids) + i + 1 : i + 1].tolist())
+                        tokens.append(own.slice(start, ends[i] - start))
+                        start = int(ends[i])
+                    if total >= block_tokens:
+                        yield block()
+                        number += 1
+                        ids, held, sizes, tokens, total = [], [], [], [], 0
         if ids:
             yield block()
 

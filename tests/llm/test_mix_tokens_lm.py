@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -252,3 +253,22 @@ def test_every_training_token_reaches_a_gradient(spark):
     model, seen = train(blocks, lexicon, tokens, few=100, tasks=2)
     assert seen == tokens
     assert (model.p["Ww"] != Gru(len(lexicon.words) + 4, lexicon.bounds, 4).p["Ww"]).any()
+
+
+def test_tokens_of_slices():
+    """All texts at once give the tokens of each, from the middle of a batch too."""
+    from quarry.llm.recurrent_lm import _tokenised
+
+    texts = ["Ünder é", None, "", " \x0b\x0cA\x1cB\x85c d\r\n", "à b à", "zz É", "\t", "end"]
+    for lo, hi in ((0, 8), (1, 7), (4, 6), (3, 3)):
+        words, sizes = _tokenised(pa.array(texts).slice(lo, hi - lo))
+        assert words.to_pylist() == [w.decode() for t in texts[lo:hi] for w in tokens_of(t)]
+        assert sizes.tolist() == [len(tokens_of(t)) for t in texts[lo:hi]]
+
+
+def test_large_weights_are_shifted():
+    g, r = Gru(9, [0, 2, 5], 3, hidden=4), np.random.default_rng(0)
+    g.p = {k: v * 4000 for k, v in g.p.items()}
+    c = np.array([0, 1, 4, 1])
+    got = g.log_probs(np.tanh(r.standard_normal((4, 4))).astype(np.float32), c, np.array([1, 3, -1, 2]))
+    assert np.isfinite(got).all() and (got <= 0).all()
