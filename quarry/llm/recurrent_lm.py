@@ -149,12 +149,13 @@ def _grids(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["docs"][n : 2 * n], bool), sizes, flat
 
 
-def train(blocks: DataFrame, lexicon: Lexicon, tokens: int, rounds: int = 4, few: int = 2_000_000, tasks: int = 64) -> tuple[Gru, int]:
+def train(blocks: DataFrame, lexicon: Lexicon, tokens: int, rounds: int = 4, few: int = 2_000_000, tasks: int = 64, together: int = 2_000_000) -> tuple[Gru, int]:
     """A network trained on every training document of blocks, and the tokens that its gradients followed.
 
     Each round takes its share of the blocks, so that all are read once; of ``few`` tokens
-    or less one task reads all ``rounds`` times.  Tasks train on blocks of about ``few``
-    tokens together.  At most ``tasks`` sets of weights come to the driver.  Without blocks,
+    or less one task reads all ``rounds`` times (score_documents asks for none of that, so
+    that no size of its table changes the way).  Tasks train on blocks of about ``together``
+    tokens at once, in lanes that grow with these, so few tokens make as many steps as many.  At most ``tasks`` sets of weights come to the driver.  Without blocks,
     or without training tokens in them, the network stays as it was drawn.
     """
     model, seen = Gru(len(lexicon.words) + lexicon.rare, lexicon.bounds, lexicon.rare), 0
@@ -168,7 +169,7 @@ def train(blocks: DataFrame, lexicon: Lexicon, tokens: int, rounds: int = 4, few
             def follow() -> None:
                 x, c, w, begin = (np.concatenate(v) for v in zip(*held_back, strict=True))
                 given = np.where(begin, first, np.roll(x, 1)).astype(np.int32)
-                model.train_flat(given, c, w, begin, lanes=int(np.clip(len(x) // 4800, 32, 512)), passes=passes, rate=rate)
+                model.train_flat(given, c, w, begin, lanes=int(np.clip(len(x) // 4800, 1, 512)), passes=passes, rate=rate)
                 held_back.clear()
 
             for pdf in batches:
@@ -180,7 +181,7 @@ def train(blocks: DataFrame, lexicon: Lexicon, tokens: int, rounds: int = 4, few
                     if learn.any():
                         held_back.append((*(v.astype(np.int32)[flat[learn]] for v in lexicon.entries(list(row["words"]))), begin[learn]))
                         waiting, done = waiting + int(learn.sum()), done + passes * int(learn.sum())
-                    if waiting >= few:
+                    if waiting >= together:
                         follow()
                         waiting = 0
             if held_back:
@@ -232,7 +233,7 @@ def score_documents(docs: DataFrame, frequent: int = 1000, classes: int = 20, ra
     for w, c in top:
         mass[rare_class(w, rare)] -= c + 1
     lexicon.mass = mass
-    model, _ = train(blocks, lexicon, int(total))
+    model, _ = train(blocks, lexicon, int(total), few=0)
     release(docs.sparkSession)
 
     def scored(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:

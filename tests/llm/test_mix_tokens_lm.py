@@ -272,3 +272,15 @@ def test_large_weights_are_shifted():
     c = np.array([0, 1, 4, 1])
     got = g.log_probs(np.tanh(r.standard_normal((4, 4))).astype(np.float32), c, np.array([1, 3, -1, 2]))
     assert np.isfinite(got).all() and (got <= 0).all()
+
+
+def test_no_size_changes_the_training(spark, monkeypatch):
+    """However few, all training tokens are followed once."""
+    from quarry.llm import recurrent_lm
+
+    seen, train = [], recurrent_lm.train
+    monkeypatch.setattr(recurrent_lm, "train", lambda *a, **k: seen.append(train(*a, **k)) or seen[-1])
+    for n in (3, 300):
+        docs = spark.createDataFrame([(i, f"some words of {i % 9}") for i in range(n)], "doc_id long, text string")
+        total = {r["train_tokens"] for r in score_documents(docs, block_tokens=200).collect()}
+        assert {seen[-1][1]} == total
