@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,9 @@ def drop_scratch(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let finished steps' shuffle files go now: they go with their plans, which the driver's JVM may keep for long."""
+    spark.range(0, 1, 1, 1).collect()  # the last query's plan is held until another has run
+    with contextlib.suppress(Py4JJavaError):  # events that wait for their listeners hold plans
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     gc.collect()
     spark._jvm.System.gc()
 

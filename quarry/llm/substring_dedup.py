@@ -3,7 +3,8 @@
 Every window of ``length`` bytes has an anchor: its run of ``k`` bytes of least
 hash.  Equal windows have equal anchors, so windows can be dealt by anchor.  First
 only the anchors' hashes are shuffled, to find those in two documents; only they
-go on, with the bytes of their windows (a context).  Each task sorts the windows of
+go on, with the bytes of their windows (a context), which are dealt in ``turns``, one
+after the other, so that the disk holds a share of them dealt out.  Each task sorts the windows of
 its contexts, the suffixes cut at ``length``, by a hash of their bytes, compares the
 bytes of neighbours, and gives every window the least document that has it; equal
 contexts count once there.  Should two neighbours differ in spite of one hash, the
@@ -17,16 +18,20 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, release, table
+from quarry.llm.common import drop_scratch, materialize, release, table
 from quarry.llm.suffix_array import prefix_classes, suffix_array
 
 _PIECE = 1 << 18
+#: Bytes of text that a task answers at once.
+_TOGETHER = 1 << 18
 _LAST = (1 << 63) - 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15
@@ -70,6 +75,17 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches in parts of some rows whose texts (column 2) take about _TOGETHER bytes: a longer text is a part."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _TOGETHER, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def window_classes(data: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
     """A number for each window of length (8 at least) bytes of data that starts in where: equal for equal bytes only."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -121,55 +137,71 @@ def covered(contexts: pa.Array, d: np.ndarray, row: np.ndarray, at: np.ndarray,
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_contexts: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int, k: int, hot: int, task_contexts: int, turns: int) -> DataFrame:
     """d, row and ranges (sorted starts and ends, from 0) of bytes that windows of a smaller d cover; docs: d, row, text."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                h = np.unique(anchors(_bytes(b.column(2)[i].as_py()), length, k)[0])
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), b.column(0)[i].as_py())), pa.array(np.full(len(h), b.column(1)[i].as_py()))], ["h", "d", "row"])
+        for part in _parts(batches):
+            found = [np.unique(anchors(_bytes(t.as_py()), length, k)[0]) for t in part.column(2)]
+            which = np.repeat(np.arange(len(found)), [len(h) for h in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(pa.array(which)), part.column(1).take(pa.array(which))], ["h", "d", "row"])
 
     of = Window.partitionBy("h")
     seen = docs.mapInArrow(hashes, "h long, d long, row long").select("h", "d", "row", F.min("d").over(of).alias("lo"), F.max("d").over(of).alias("hi"), F.count(F.lit(1)).over(of).alias("n"))
     several = seen.filter("lo < hi").groupBy("d", "row").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("crowd"))
     several = materialize(several.withColumnsRenamed({"d": "_d", "row": "_row"}), "anchors")
-    release(docs.sparkSession)
     colds, crowds = several.agg(F.coalesce(F.sum(F.size("cold")), F.lit(0)), F.coalesce(F.sum(F.size("crowd")), F.lit(0))).first()
+    release(docs.sparkSession)
     mine = (F.col("d") == F.col("_d")) & (F.col("row") == F.col("_row"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                data = _bytes(b.column(2)[i].as_py())
+        for part in _parts(batches):
+            hs, hots, texts, firsts = [], [], [], []
+            for t, colds_, crowd_ in zip(*(part.column(j) for j in (2, 3, 4)), strict=True):
+                data = _bytes(t.as_py())
                 h, first, last = anchors(data, length, k)
-                keep = np.isin(h, b.column(3)[i].values.to_numpy())
-                texts = [data[a : z + length] for a, z in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(texts, pa.binary()), pa.array(np.full(n, b.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, b.column(1)[i].as_py(), np.int64)), pa.array(first[keep])], ["h", "context", "d", "row", "at"])
-
-    def shown(which: str) -> DataFrame:
-        some = several.filter(F.size(which) > 0).select("_d", "_row", F.col(which).alias("hs"))
-        return docs.join(some, mine).select("d", "row", "text", "hs").mapInArrow(contexts, "h long, context binary, d long, row long, at long")
+                cold, crowd = (np.isin(h, c.values.to_numpy()) for c in (colds_, crowd_))
+                keep = cold | crowd
+                texts += [data[a : z + length] for a, z in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+                hs.append(h[keep])
+                hots.append(crowd[keep])
+                firsts.append(first[keep])
+            which = pa.array(np.repeat(np.arange(len(hs)), [len(h) for h in hs]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(hots)), pa.array(texts, pa.binary()), part.column(0).take(which), part.column(1).take(which), pa.array(np.concatenate(firsts))], ["h", "hot", "context", "d", "row", "at"])
+
+    # each text is read once; in a file, where they stand by document, contexts take less room than dealt out
+    shown = docs.join(several.hint("shuffle_hash"), mine).select("d", "row", "text", "cold", "crowd").mapInArrow(contexts, "h long, hot boolean, context binary, d long, row long, at long")
+    shown = materialize(shown, "contexts")
+    drop_scratch(several)
+    release(docs.sparkSession)
 
     def ranges(t: pa.Table) -> pa.Table:
         d, row, at = (t[c].to_numpy() for c in ("d", "row", "at"))
         return pa.table(dict(zip(("d", "row", "start", "end"), covered(t["context"].combine_chunks(), d, row, at, length), strict=True)))
 
     task = F.pmod(F.xxhash64("h"), F.lit(max(1, math.ceil(colds / task_contexts)))).cast("int")
-    spans = shown("cold").select(task.alias("task"), "context", "d", "row", "at").groupBy("task").applyInArrow(ranges, "d long, row long, start long, end long")
+    cold, parts = shown.filter("NOT hot").select(task.alias("task"), "context", "d", "row", "at"), []
+    for turn in range(turns):
+        dealt = cold.filter(F.pmod("task", F.lit(turns)) == turn)
+        parts.append(materialize(dealt.groupBy("task").applyInArrow(ranges, "d long, row long, start long, end long"), "spans"))
+        release(docs.sparkSession)
     if crowds:
-        places = shown("crowd").select("d", "row", "at", "context", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
+        places = shown.filter("hot").select("d", "row", "at", "context", F.posexplode(F.sequence(F.lit(1), F.length("context") - (length - 1))).alias("pos", "s"))
         windows = materialize(places.select("d", "row", (F.col("at") + F.col("pos")).alias("start"), F.substring("context", F.col("s"), F.lit(length)).alias("window")), "windows")
         release(docs.sparkSession)
         least = windows.groupBy("window").agg(F.min("d").alias("least"))
-        late = windows.join(least, "window").filter("least < d").select("d", "row", "start", (F.col("start") + length).alias("end"))
-        spans = spans.unionByName(late)
-    return spans.groupBy("d", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+        parts.append(materialize(windows.join(least, "window").filter("least < d").select("d", "row", "start", (F.col("start") + length).alias("end")), "spans"))
+        drop_scratch(windows)
+    drop_scratch(shown)
+    release(docs.sparkSession)
+    spans = reduce(DataFrame.unionByName, parts)
+    out = materialize(spans.groupBy("d", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges")), "ranges")
+    drop_scratch(*parts)
+    release(docs.sparkSession)
+    return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20_000, task_contexts: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20_000, task_contexts: int = 40_000, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) of every row.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document of
@@ -180,9 +212,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("d")
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(d, F.xxhash64(text).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    gone = repeated_ranges(given.select("d", "row", "text"), length, k, hot, task_contexts)
-    gone = materialize(gone.select(F.col("d").alias("_d"), F.col("row").alias("_row"), "ranges"), "ranges")
-    release(docs.sparkSession)
+    gone = repeated_ranges(given.select("d", "row", "text"), length, k, hot, task_contexts, turns)
+    gone = gone.select(F.col("d").alias("_d"), F.col("row").alias("_row"), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, hot: int = 20
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     mine = (F.col("d") == F.col("_d")) & (F.col("row") == F.col("_row"))
-    both = given.join(gone, mine, "left").select("doc_id", "text", "ranges")
+    both = given.join(gone.hint("shuffle_hash"), mine, "left").select("doc_id", "text", "ranges")
     return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

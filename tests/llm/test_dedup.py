@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -192,6 +193,28 @@ def test_substrings(odd, empty, plain_rows, hot):
     assert remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_substrings_leave_one_table(odd, tmp_path, monkeypatch, hot):
+    """Whatever the turns and the texts answered at once, results agree, and only the ranges that the result reads stay on disk."""
+    import quarry.llm.substring_dedup as m
+
+    want = Counter((*r[:5], bytes(r[5])) for r in remove_repeats(odd, 12, 5, hot).collect())
+    monkeypatch.setattr(m, "_TOGETHER", 100)
+    for turns in (1, 3):
+        monkeypatch.setattr("quarry.llm.common.shared_dir", lambda _, turns=turns: f"file://{tmp_path}/{turns}")
+        got = remove_repeats(odd, 12, 5, hot, task_contexts=50, turns=turns)
+        assert Counter((*r[:5], bytes(r[5])) for r in got.collect()) == want
+        assert [p.name for p in (tmp_path / str(turns)).glob("*/*")] == ["ranges"]
+
+
+def test_parts_of_a_batch(monkeypatch):
+    import quarry.llm.substring_dedup as m
+
+    monkeypatch.setattr(m, "_TOGETHER", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(range(7)), pa.array(["ab", "cd", "", None, "12345678", "x", "yyy"])], ["d", "row", "text"])
+    assert [p.column(0).to_pylist() for p in m._parts([batch, batch.slice(0, 0)])] == [[0, 1, 2, 3], [4], [5, 6]]
+
+
 @pytest.mark.parametrize("how", [{}, {"crowd": 2, "patience": 0}, {"crowd": 3, "patience": 2}])
 def test_near_duplicates_finds_every_pair(spark, how):
     """All links at or above the threshold, also in one large group and between documents that share a passage, against brute force."""
