@@ -35,6 +35,8 @@ from quarry.llm.simhash import fingerprint, near_links, shingle_hashes
 
 #: Rows that a task answers at once.
 _ROWS = 256
+#: Ids that are sent to every task.
+_FEW = 200_000
 _LONGS = pa.list_(pa.int64())
 
 
@@ -115,6 +117,13 @@ def _reordered(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return docs.mapInArrow(made, "c long, lo long, hi long, n int, marks array<long>, late array<long>")
 
 
+def _texts_of(texts: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """texts joined with rows by c, which are among ids; where these are few, other texts aren't shuffled."""
+    if ids.limit(_FEW + 1).count() <= _FEW:
+        texts = texts.join(F.broadcast(ids.select("c")), "c", "left_semi")
+    return texts.join(rows, "c")
+
+
 def _in_order(texts: DataFrame, first: DataFrame, words: int, similarity: float, crowd: int, counts: int = 3) -> DataFrame:
     """c, n and marks of first (c, lo, hi, n and marks: prefixes by hash), in the order that puts the shingles which crowd prefixes last.
 
@@ -138,10 +147,10 @@ def _in_order(texts: DataFrame, first: DataFrame, words: int, similarity: float,
             return now.select("c", "n", "marks")
         known = asked.join(more, "c").select("c", "lo", "hi", F.concat("late", "more").alias("late"))
         if last := step > counts:  # documents made of late shingles learn all of theirs at once
-            each = _sets(texts.join(known, "c").select("text", "lo", "hi", "c"), words).select("c", F.explode("shingles").alias("h"))
+            each = _sets(_texts_of(texts, known, more).select("text", "lo", "hi", "c"), words).select("c", F.explode("shingles").alias("h"))
             whole = materialize(each.join(heavy, "h", "left_semi").groupBy("c").agg(F.collect_set("h").alias("late")), "whole")
             known = known.drop("late").join(whole, "c")
-        new = materialize(_reordered(texts.join(known, "c").select("text", "lo", "hi", "c", "late"), words, similarity), "changed")
+        new = materialize(_reordered(_texts_of(texts, known, more).select("text", "lo", "hi", "c", "late"), words, similarity), "changed")
         old, now = now, materialize(now.join(more.select("c"), "c", "left_anti").unionByName(new), "prefixes")
         drop_scratch(*([old, more] if again is None else [old, more, again]))
         again, step = new, step + 1
@@ -157,7 +166,7 @@ def _alike(texts: DataFrame, names: DataFrame, pairs: DataFrame, words: int, sim
     for turn in range(turns):
         mine = pairs.filter(F.pmod(F.xxhash64(F.lit("turn"), "a"), F.lit(turns)) == turn)
         asked = mine.select(F.col("a").alias("c")).unionByName(mine.select(F.col("b").alias("c"))).distinct()
-        sets = materialize(_sets(texts.join(names.join(asked, "c", "left_semi"), "c").select("text", "lo", "hi", "c"), words), "sets")
+        sets = materialize(_sets(_texts_of(texts, names.join(asked, "c", "left_semi"), asked).select("text", "lo", "hi", "c"), words), "sets")
         one, two = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = mine.join(one, "a").join(two, "b")
         shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")

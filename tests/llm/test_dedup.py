@@ -236,3 +236,15 @@ def test_near_duplicates_finds_every_pair(spark, how):
     assert sum(0.8 <= like(a, b) < 0.85 for a in sets for b in sets if a < b) >= 20
     gone = {r["doc_id"]: r["keep_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
     assert gone == {a: b for a, b in _groups(sets).items() if a != b}
+
+
+def test_texts_of_few_ids_only_are_shuffled(spark, monkeypatch):
+    import quarry.llm.near_dups as m
+
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "c long, text string")
+    ids = spark.createDataFrame([(3, 1), (7, 2)], "c long, lo long")
+    for few, kind in ((2, "LeftSemi"), (1, "")):
+        monkeypatch.setattr(m, "_FEW", few)
+        got = m._texts_of(texts, ids, ids)
+        assert sorted(map(tuple, got.select("c", "text", "lo").collect())) == [(3, "t3", 1), (7, "t7", 2)]
+        assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == bool(kind)
