@@ -9,12 +9,15 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A run of these characters parts two words (Java and Python spelling).
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: What a batch that goes to a Python worker holds at most: rows, and bytes where Spark knows that limit.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +50,19 @@ def drop_scratch(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's batches to Python be no larger than BATCH; a task holds several copies of one, outside the heap and in its worker.
+
+    Smaller bounds of the session stay; no row or result depends on them.
+    """
+    for key, most in BATCH.items():
+        with contextlib.suppress(Py4JJavaError, PySparkException):  # a Spark without that limit
+            now = spark.conf.get(key)
+            size = float(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)) if "Bytes" in key else int(now)
+            if not 0 < size <= most:
+                spark.conf.set(key, str(most))
+
+
 def release(spark: SparkSession) -> None:
     """Let finished steps' shuffle files go now: they go with their plans, which the driver's JVM may keep for long."""
     spark.range(0, 1, 1, 1).collect()  # the last query's plan is held until another has run

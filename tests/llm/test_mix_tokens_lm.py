@@ -241,6 +241,25 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("body", ["short", "a long text of many words " * 4000])
+def test_stages_bound_what_python_holds_at_once(spark, sf, body):
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    rows = 3000 if body == "short" else 300
+    docs = spark.range(0, rows, 1, 1).selectExpr("id AS doc_id", f"concat('{body}', id) AS text", "'en' AS lang", "'a' AS source")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+            spark.conf.unset(key)
+        stage(spark, docs.limit(0), sf)
+        got = docs.select("text").mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == rows, name
+        assert max(r["n"] for r in got) <= 512 and max(r["size"] for r in got) < 6 << 20, name
+
+
 def test_every_training_token_reaches_a_gradient(spark):
     """More documents than any sample of 600; few tokens are read in each of four rounds, more once."""
     from quarry.llm.recurrent_lm import Lexicon, blocks_of, held_out, train
